@@ -1,0 +1 @@
+"""No streams: every remapping is one batch plan over a finite cloud, so nothing is defined here."""
