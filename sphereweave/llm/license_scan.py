@@ -4,7 +4,7 @@ Each text is taken whole, by paragraphs and by lines; such a unit is normalised
 lowered, words `[a-z0-9.]`, dots at a word's end dropped) and compared with licence
 templates by the Dice coefficient over sets of word bigrams. Size bounds prune first: a
 Dice of t needs a set size between t/(2-t) and (2-t)/t times the template's, and at least
-one bigram of any template; both are exact, so nothing that reaches t is lost.
+one bigram of any template, and one of the words that no match can do without; all are exact, so nothing that reaches t is lost.
 
 The template list is a parameter of fixed size (checked to be at most MAX_TEMPLATES), so it
 is a literal of the plan: no join, no shuffle of texts, one pass.
@@ -48,6 +48,18 @@ def _py_bigrams(text: str) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(w, w[1:])} or set(w))
 
 
+def anchors(sets: list[tuple[str, list[str]]], t: float) -> list[str]:
+    """Words of which a unit that reaches t holds one at least: it shares t/(2-t) of a template's
+    bigrams, so once the bigrams without a chosen word are fewer than that, one chosen word is there."""
+    out: set[str] = set()
+    for _, b in sets:
+        for w in sorted({x for g in b for x in g.split(" ")}, key=lambda x: (-len(x), x)):
+            if sum(not out & set(g.split(" ")) for g in b) < len(b) * t / (2 - t) - 1e-9:
+                break
+            out.add(w)
+    return sorted(out)
+
+
 def _words(unit: Column) -> Column:
     return F.array_remove(F.split(F.regexp_replace(ascii_lower(unit), r"\.+(?=[^a-z0-9.]|$)", ""), "[^a-z0-9.]+"), "")
 
@@ -65,7 +77,16 @@ def license_matches(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATE
     text = F.coalesce(F.col("text"), F.lit(""))
     units = F.array_distinct(F.concat(F.split(text, "\n"), F.split(text, r"\n[ \t\r]*\n"), F.array(text)))
     # a set of k bigrams needs k separators at least; cheap length tests come before any splitting
-    units = F.filter(units, lambda u: F.length(u) >= int(2 * low))
+    chosen = anchors(sets, t)
+
+    def has_anchor(u):
+        low_ = F.lower(u)  # changes more than A-Z, which can only let more through
+        out = F.lit(False)
+        for w in chosen:
+            out = out | F.contains(low_, F.lit(w))
+        return out
+
+    units = F.when(has_anchor(text), F.filter(units, lambda u: (F.length(u) >= int(2 * low)) & has_anchor(u))).otherwise(F.array().cast("array<string>"))
     sized = F.filter(F.transform(units, lambda u: F.struct(u.alias("u"), _words(u).alias("w"))),
                      lambda s: F.size(s["w"]) >= low)
 
