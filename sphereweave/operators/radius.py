@@ -9,7 +9,6 @@ instead, so rows that crowd at the poles stay spread out.
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window

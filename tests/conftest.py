@@ -35,10 +35,12 @@ def run_duckdb(sql: str, sf: str = SF):
 
 def same(a, b) -> None:
     cols = sorted(a.columns)
+    import pandas as pd
+
     assert cols == sorted(b.columns)
     assert len(a) == len(b)
-    key = lambda r: tuple((v is None or v != v, str(v)) for v in r)
-    plain = lambda v: None if v is None or v != v else float(v) if isinstance(v, float) or hasattr(v, "is_integer") else v
+    key = lambda r: tuple((v is None, str(v)) for v in r)
+    plain = lambda v: None if pd.isna(v) else float(v) if isinstance(v, float) or hasattr(v, "is_integer") else v
     rows = lambda d: sorted([tuple(plain(v) for v in r) for r in d[cols].astype(object).itertuples(index=False)], key=key)
     for x, y in zip(rows(a), rows(b)):
         for u, v in zip(x, y):
