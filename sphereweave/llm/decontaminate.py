@@ -138,6 +138,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, action: str = "document
     found = contamination(docs, benchmark, window, max_broadcast).where("contaminated").select(
         F.col("doc_id").alias("__d_id"), F.col("text_key").alias("__d_key"), F.col("spans").alias("__d_spans")
     ).dropDuplicates(["__d_id", "__d_key"])
+    # the hit documents go to the texts while their counted number is small, else both are shuffled
+    found = cut(found, "hit")
+    found = F.broadcast(found) if found.count() <= max_broadcast else found
     on = F.col("doc_id").eqNullSafe(F.col("__d_id")) & (F.xxhash64("text") == F.col("__d_key"))
     if action == "documents":
         return docs.join(found, on, "left_anti")

@@ -4,7 +4,7 @@ Writing: a record is header, blank line, block; the text writer's line separator
 CR LF CR LF that ends a record, so the archives go to any store that Spark can write to, each
 task its own file. Of records with equal payloads of at least `min_bytes` bytes, the one with the
 smallest page_id is a `response`, the others are `revisit` records without a block that refer to
-it and keep the payload's digest and length. Digests meet by id alone, payloads are not shuffled:
+it and keep the payload's digest and length. Digests alone are grouped, payloads are not shuffled:
 the list of repeated digests is broadcast while it has at most `broadcast_rows` rows (counted
 first), beyond that it is joined by shuffle.
 
