@@ -106,7 +106,7 @@ def near_words(text: str, spans: list[tuple[str, int, int]], reach: int) -> dict
     return out
 
 
-FLUSH = 300_000  # distinct terms that a task holds before it hands its sums on
+FLUSH = 100_000  # distinct terms that a task holds before it hands its sums on
 
 
 def term_counts(docs: DataFrame, reach: int) -> DataFrame:

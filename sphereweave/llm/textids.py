@@ -9,7 +9,7 @@ class Memo(dict):
     """A dict that computes missing values and forgets everything beyond `bound` keys, so a
     worker's memory stays bounded whatever vocabulary passes through it."""
 
-    def __init__(self, compute, bound: int = 300_000):
+    def __init__(self, compute, bound: int = 100_000):
         super().__init__()
         self.compute, self.bound = compute, bound
 
