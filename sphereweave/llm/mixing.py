@@ -166,7 +166,7 @@ with base as (select doc_id, lang as lang0, source as source0, xh, n_tokens,
   case when num = '' then 'other' when cast(right(num, 1) as int) % 2 = 0 then 'web' else 'books' end as domain,
   coalesce(lang, '(none)') as language, coalesce(source, '(none)') as source
   from (select *, regexp_extract(coalesce(source, ''), '([0-9]+)$', 1) as num, md5(coalesce(text, '')) as xh,
-    len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ 	-]+'), lambda x: x <> '')) as n_tokens from documents)),
+    len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \x09-\x0D]+'), lambda x: x <> '')) as n_tokens from documents)),
 leaf as (select domain, language, source, sum(n_tokens) * 2 as cap from base group by all),
 b0 as (select cast(floor(coalesce(sum(cap), 0) // 2 * 500 / 1000) as hugeint) as budget from leaf),""" + _sql_level(
     ["domain"], [], "b0", "1") + "," + _sql_level(["domain", "language"], ["domain"], "b1", "2") + "," + _sql_level(
