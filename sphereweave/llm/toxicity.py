@@ -12,8 +12,8 @@ those of the smallest hash), texts whole; texts over `max_train_chars` are left
 scoring. All statistics of the sample are the classifier's own. Scoring reads every text.
 
 Edge cases: empty or null text scores the bag with one empty sentence; a doc_id with several
-labels takes the largest; null labels do not train; no labels at all give the score 0.5 *
-everywhere; a null doc_id is held out; repeated rows give repeated rows.
+labels takes the largest; null labels do not train; without any label every sentence has the
+untrained, low score; a null doc_id is held out; repeated rows give repeated rows.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import held_out, table
-from .textids import Memo, crc
+from .textids import crc
 
 BITS = 18
 _MAP = bytes(46 if chr(c) in ".!?\n" else 32 if c < 128 and not chr(c).isalpha() else c for c in range(256))
@@ -58,11 +58,11 @@ def bag(text: str | None) -> list[np.ndarray]:
     return out or [np.zeros(0, np.int64)]
 
 
-def train(texts: list[str | None], labels: list[int], epochs: int = 6, rate: float = 0.3, l1: float = 2e-5, seed: int = 3) -> tuple[np.ndarray, float]:
+def train(texts: list[str | None], labels: list[int], epochs: int = 12, rate: float = 0.3, l1: float = 1e-3, seed: int = 3) -> tuple[np.ndarray, float]:
     """Weights by feature, and the bias of a sentence."""
     w, g2, bias, b2 = np.zeros(1 << BITS), np.full(1 << BITS, 1e-2), -5.0, 1.0
     if not labels:
-        return w, 0.0
+        return w, bias
     bags = []
     for t in texts:
         parts = bag(t)
@@ -92,22 +92,47 @@ def train(texts: list[str | None], labels: list[int], epochs: int = 6, rate: flo
     return w, float(bias)
 
 
-def sentence_scores(words: list[bytes], table_: Memo, bias: float) -> np.ndarray:
-    """p of each sentence. Per-word weights are summed (each occurrence counts), capped per word by design."""
-    v = np.fromiter(map(table_.__getitem__, words), np.float64, len(words))
-    ends = np.flatnonzero(np.isnan(v))
-    v[ends] = 0.0
-    starts = np.concatenate([[0], ends + 1])
-    starts = starts[starts < len(v)] if len(v) else np.zeros(0, np.int64)
-    s = np.add.reduceat(v, starts) if len(starts) else np.zeros(1)
-    return 1 / (1 + np.exp(-np.clip(s + bias, -30, 30)))
+class Places:
+    """Memo of words in a worker: each word's features, as a row padded with the weightless feature 2**BITS.
+    It forgets everything at `bound` words; a sentence's end is the place -1."""
+
+    def __init__(self, bound: int = 100_000):
+        self.bound = bound
+        self.clear()
+
+    def clear(self) -> None:
+        self.index: dict[bytes, int] = {b".": -1}
+        self.rows = np.full((1 << 12, 5), 1 << BITS, np.int32)
+
+    def look(self, words: list[bytes]) -> np.ndarray:
+        if len(self.index) > self.bound:
+            self.clear()
+        for w in [w for w in set(words) if w not in self.index]:
+            k = len(self.index) - 1
+            if k == len(self.rows):
+                self.rows = np.concatenate([self.rows, np.full_like(self.rows, 1 << BITS)])
+            f = _features(w)
+            self.rows[k, : len(f)] = f
+            self.index[w] = k
+        return np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
 
 
 def scorer(w: np.ndarray, bias: float):
-    memo = Memo(lambda x: float("nan") if x == b"." else float(sum(w[list(f)])) if (f := _features(x)) else 0.0)
+    """text -> p of each of its sentences, by their distinct features, as in training."""
+    memo, padded = Places(), np.append(w, 0).astype(w.dtype)
 
     def score(text: str | None) -> np.ndarray:
-        return sentence_scores(words_of(text or ""), memo, bias)
+        place = memo.look(words_of(text or ""))
+        is_end = place < 0
+        if is_end.all():
+            return 1 / (1 + np.exp(-np.full(1, bias)))
+        owner = np.cumsum(is_end)[~is_end]
+        owner = np.cumsum(np.diff(owner, prepend=owner[0]) > 0)  # sentences without a word do not count
+        f = memo.rows[place[~is_end]]
+        row, col = np.nonzero(padded[f])
+        seen = np.unique((owner[row] << BITS) | f[row, col])
+        s = np.bincount(seen >> BITS, padded[seen & ((1 << BITS) - 1)], owner[-1] + 1) + bias
+        return 1 / (1 + np.exp(-np.clip(s, -30, 30)))
 
     return score
 
