@@ -182,16 +182,17 @@ def test_near_duplicates_planted(spark):
     assert got == {i: first[g] for i, g in group.items()}
 
 
+def plain(t):
+    out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m.group().split("."))]
+    out += [("card", *m.span()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t) if 13 <= len(d := re.sub("[^0-9]", "", m.group())) <= 19 and pii.luhn(d)]
+    return out + [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 9 <= len(re.sub("[^0-9]", "", m.group())) <= 15]
+
+
 def test_pii_against_plain_patterns():
     r = random.Random(4)
     bits = ["a@b.c", "x.y+z@mail-1.example.com", "@", "@@", "1.2.3.4", "256.1.1.1", "1.2.3.4.5.6.7.8", "4111 1111 1111 1111", "4111-1111-1111-1112", "+1 (212) 555-0123", "+12", "++49 30 1234567", " ", "\n", "é", ".", "-", "000.0.0.0", "word", "5"]
 
-    def plain(t):
-        out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
-        out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m.group().split("."))]
-        out += [("card", *m.span()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t) if 13 <= len(d := re.sub("[^0-9]", "", m.group())) <= 19 and pii.luhn(d)]
-        return out + [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 9 <= len(re.sub("[^0-9]", "", m.group())) <= 15]
-
     for _ in range(3000):
         t = "".join(r.choice(bits) for _ in range(r.randint(0, 14)))
         assert pii.base_spans(t) == plain(t), t
@@ -280,14 +281,149 @@ def test_warc_with_magic_inside_and_small_splits(spark):
     assert blocks[3] == inner.encode() and blocks[5].endswith(b"tail\r\n\r\n") and blocks[7] == ("é" * 80 + inner + inner).encode()
 
 
+def test_pii_query_against_plain_patterns(spark):
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = {r.doc_id: r for r in pii.op9_pii(spark, SF).collect()}
+    assert got.keys() == texts.keys()
+    for i, t in texts.items():
+        want, r = plain(t), got[i]
+        joined = ",".join(f"{k}:{x}:{y}" for k, x, y in want)
+        assert r.base_sha256 == hashlib.sha256(joined.encode()).hexdigest() and r.spans.startswith(joined)
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(k == kind for k, _, _ in want) for kind in ("email", "ip", "card", "phone"))
+
+
+def components(ids, pairs):
+    up = {i: i for i in ids}
+
+    def top(v):
+        while up[v] != v:
+            v = up[v]
+        return v
+
+    for a, b in pairs:
+        x, y = sorted((top(a), top(b)))
+        up[y] = x
+    return {i: top(i) for i in ids}
+
+
+def brute_groups(texts):
+    """Components of pairs whose five-word shingles are similar by 0.8, and of all that align by 0.8."""
+    words = {i: re.findall(r"[0-9a-z\x80-\U0010FFFF]+", "".join(c.lower() if c < "\x80" else c for c in t)) for i, t in texts.items()}
+    words = {i: w for i, w in words.items() if w}
+    num = {}
+    ids = {i: np.array([num.setdefault(x, len(num)) for x in w], np.uint32) for i, w in words.items()}
+    grams = {i: {tuple(w[k: k + 5]) for k in range(max(1, len(w) - 4))} for i, w in words.items()}
+    order, close, aligned = sorted(words), [], []
+    for x, i in enumerate(order):
+        for j in order[x + 1:]:
+            if len(grams[i] & grams[j]) >= 0.8 * len(grams[i] | grams[j]):
+                close.append((i, j))
+            if minhash.similar(ids[i], ids[j], 0.8):
+                aligned.append((i, j))
+    return components(order, close), components(order, aligned)
+
+
+def assert_groups(found, texts):
+    """No close pair is lost, and no group goes beyond what aligns."""
+    close, aligned = brute_groups(texts)
+    for i, top in close.items():
+        assert found[i] == found[top]
+    for i, top in found.items():
+        assert aligned.get(i, i) == aligned.get(top, top)
+
+
+def test_near_duplicates_query_against_brute_force(spark):
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = minhash.op5_minhash(spark, SF).collect()
+    assert {r.doc_id for r in got} == texts.keys() and len(got) == len(texts)
+    assert all(r.kept == (r.doc_id == r.component_id) and r.component_id <= r.class_id <= r.doc_id for r in got)
+    assert_groups({r.doc_id: r.component_id for r in got}, texts)
+
+
+def test_dedup_when_an_id_stands_on_several_texts(spark):
+    a, b, c = ("one two three four five six seven eight", "red green blue black white grey pink brown", "sun moon star sky rain wind snow ice")
+    d = docs_of(spark, [(1, a), (5, a), (5, b), (5, b), (5, b.upper()), (6, b), (7, c), (7, a), (8, None), (8, None)])
+    left = sorted((r.doc_id, (r.text or "").lower()) for r in minhash.dedup(d).collect())
+    assert left == [(1, a), (5, b), (7, c), (8, ""), (8, "")]
+    assert left == sorted((r.doc_id, (r.text or "").lower()) for r in minhash.dedup(d, broadcast_rows=0).collect())
+
+
+def test_embeddings_query_against_brute_force(spark):
+    rows = {r.vec_id: r.embedding for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()}
+    u = {i: np.array(v, np.float64) for i, v in rows.items()}
+    order = sorted(u)
+    x = np.array([u[i] / np.linalg.norm(u[i]) for i in order])
+    near = x @ x.T >= 0.95
+    np.fill_diagonal(near, False)
+    top = components(order, [(order[a], order[b]) for a, b in np.argwhere(near)])
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embed_dedup.op3_embed_dedup(spark, SF).collect()}
+    assert got == {i: (int(near[k].sum()), top[i], top[i] == i) for k, i in enumerate(order)}
+
+
+def test_toxicity_held_out_accuracy(spark):
+    sf = "/root/testdata/sf0.1"
+    got = toxicity.op4_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic"), "doc_id").where("held_out and toxic is not null").toPandas()
+    bad, fine = got[got.toxic == 1], got[got.toxic == 0]
+    assert len(bad) > 50 and bad.predicted.mean() > 0.9 and fine.predicted.mean() < 0.02
+
+
+def test_toxicity_scores_sentences_as_it_learns_them():
+    """Distinct features of a sentence with words, however often a word stands there."""
+    rng = np.random.default_rng(6)
+    w, bias = rng.standard_normal(1 << toxicity.BITS), -1.0
+    r = random.Random(6)
+    score = toxicity.scorer(w, bias)
+    for _ in range(200):
+        t = "".join(r.choice(["toad ", "toads ", "Sun ", "hill", " é ", ". ", "!!", "\n", "12 "]) for _ in range(r.randint(0, 30)))
+        want = [1 / (1 + np.exp(-(w[f].sum() + bias))) for f in toxicity.bag(t)]
+        assert np.allclose(score(t), want), t
+
+
 def test_pipeline_stages(spark):
+    """Each stage against a plain version of it, on what the one before kept."""
     d = spark.read.parquet(f"{SF}/documents.parquet")
-    out, seen = d, []
-    for name, stage in corpus_pipeline.STAGES:
-        before = {r.doc_id for r in out.select("doc_id").collect()}
-        out = corpus_pipeline.cut(stage(spark, out, SF))
-        seen.append(name)
-        assert {r.doc_id for r in out.select("doc_id").collect()} <= before
+    stages, docs = dict(corpus_pipeline.STAGES), d.toPandas().set_index("doc_id", drop=False)
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "minhash_dedup", "decontamination", "pii", "mixing"]
+
+    def step(name, df):
+        out = corpus_pipeline.cut(stages[name](spark, df, SF))
         if name != "mixing":
             assert out.columns == d.columns
-    assert len(seen) == 5 and out.count()
+        return out, out.toPandas().set_index("doc_id", drop=False)
+
+    names, weights = langid.fit(d.where(~corpus_pipeline.held_out(F.col("doc_id"), 5)))
+
+    def likely(t):
+        c = langid.codes(t or "")
+        s = np.bincount(langid.features(c), minlength=1 << langid.BITS) @ weights.astype(float) / max(1, len(langid.features(c)))
+        return len(c) and 1 / np.exp(s - s.max()).sum() >= corpus_pipeline.LEAST_LANGUAGE_SCORE
+
+    one, kept = step("language_id", d)
+    assert set(kept.doc_id) == {i for i, t in docs.text.items() if likely(t)} and len(kept) == kept.doc_id.nunique()
+    before, (two, kept) = kept, step("minhash_dedup", one)
+    close, aligned = brute_groups(before.text.fillna("").to_dict())
+    gone = set(before.doc_id) - set(kept.doc_id)
+    assert all(aligned.get(i, i) in {aligned[k] for k in kept.doc_id if k in aligned} for i in gone)  # each group keeps a row
+    assert all(sum(close[i] == g for i in kept.doc_id if i in close) <= 1 for g in set(close.values()))
+    before, (three, kept) = kept, step("decontamination", two)
+    words = lambda t: re.findall(r"[0-9a-z\x80-\U0010FFFF]+", "".join(c.lower() if c < "\x80" else c for c in t or ""))
+    windows = {tuple(w[k: k + 10]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect() if (w := words(r.text)) for k in range(max(1, len(w) - 9))}
+    lens = {len(w) for w in windows}
+    hit = {i for i, t in before.text.items() if any(tuple(w[k: k + n]) in windows for w in [words(t)] for n in lens for k in range(len(w) - n + 1))}
+    assert hit and set(kept.doc_id) == set(before.doc_id) - hit
+    assert not any(pii.disclosing_terms(three).values())
+    before, (four, kept) = kept, step("pii", three)
+    for i, t in before.text.items():
+        out, last = "", 0
+        for a, b, k in sorted((a, -b, k) for k, a, b in plain(t)):
+            if -b > last:
+                out, last = out + t[last:max(a, last)] + f"[{k.upper()}]", -b
+        assert kept.text[i] == out + t[last:] and kept.n_chars[i] == len(kept.text[i])
+    assert (before.text != kept.text.loc[before.index]).any()
+    five, mixed = step("mixing", four)
+    import duckdb
+    c = duckdb.connect()
+    c.register("documents", kept.reset_index(drop=True))
+    want = c.sql(mixing.ORACLE).df()
+    pick = lambda x, e, t: sorted(zip(x.doc_id, x[e], x[t]))
+    assert len(mixed) and pick(mixed, "mix_epoch", "mix_tokens") == pick(want, "epoch", "n_tokens")
