@@ -15,14 +15,25 @@ from sphereweave.llm.pii import sanitise
 
 #: A document whose language is `und` or less likely than this goes.
 LEAST_LANGUAGE_SCORE = 0.5
+#: Texts that a Python worker is handed at once: a stage's memory beside the heap grows with them.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to BATCH_ROWS; a smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     found = identify(docs, fit(docs.where(~held_out(F.col("doc_id"), 5))))
     return found.where((F.col("__l_pred") != "und") & (F.col("__l_score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
 
 
 def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return dedup(docs)
 
 
@@ -31,6 +42,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return sanitise(docs)
 
 
