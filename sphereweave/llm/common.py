@@ -17,12 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
+    """The folder that driver and executors share: the session's spark.checkpoint.dir.
 
     Only a local-mode session without that setting (tests) gets a folder of its own.
     """
     conf = spark.sparkContext.getConf()
-    found = conf.get("spark.checkpoint.dir", None)
+    found = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
     master = conf.get("spark.master", "")

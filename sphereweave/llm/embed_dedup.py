@@ -161,4 +161,15 @@ def op3_embed_dedup(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
-ORACLE = None
+ORACLE = """
+with recursive v as (select row_number() over () as r, vec_id, cast(embedding as double[]) as e from embeddings),
+u as (select * from v where vec_id is not null and e is not null and len(e) > 0 and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0
+  and len(list_filter(e, lambda x: x <> 0)) > 0),
+links as (select a.r as a, b.r as b from u a join u b on a.r <> b.r and len(a.e) = len(b.e) where list_cosine_similarity(a.e, b.e) >= cast(0.95 as double)),
+reach(a, b) as (select r, r from u union select reach.a, links.b from reach join links on reach.b = links.a),
+top as (select reach.a as r, min(v.vec_id) as top_id from reach join v on v.r = reach.b group by reach.a),
+n as (select a as r, count(*) as n from links group by a)
+select vec_id, cast(coalesce(n, 0) as bigint) as n_links, coalesce(top_id, vec_id) as component_id,
+  coalesce(vec_id = coalesce(top_id, vec_id), false) as kept
+from v left join top using (r) left join n using (r)
+"""

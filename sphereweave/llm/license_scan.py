@@ -117,3 +117,23 @@ def op6_license_scan(spark, sf_dir: str) -> DataFrame:
     best = F.aggregate("matches", F.lit(0.0), lambda a, x: F.greatest(a, x["dice"]))
     return m.select("doc_id", F.size("matches").cast("long").alias("n_matches"),
                     F.array_join(ids, ",").alias("licenses"), F.round(best, 9).alias("best_dice"))
+
+
+def oracle() -> str:
+    """op6_license_scan in SQL: every unit's bigrams against every template's, without any pruning."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    rows = [f"({k}, {quoted(i)}, {len(b)}, {quoted(g)})" for k, (i, b) in enumerate((i, _py_bigrams(t)) for i, t in TEMPLATES) for g in b]
+    return rf"""
+with known(k, id, size, gram) as (values {", ".join(rows)}),
+d as (select row_number() over () as r, doc_id, coalesce(text, '') as t from documents),
+u as (select row_number() over () as uid, r, unit from (select distinct r, unit from (
+  select r, unnest(string_split(t, chr(10)) || regexp_split_to_array(t, '\n[ \t\r]*\n') || [t]) as unit from d))),
+w as (select uid, r, list_filter(list_transform(regexp_extract_all(translate(unit, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9.]+'),
+  lambda x: regexp_replace(x, '\.+$', '')), lambda x: x <> '') as w from u),
+b as (select uid, r, case when len(w) > 1 then list_distinct(list_transform(range(1, len(w)), lambda i: concat(w[i], ' ', w[i + 1]))) else w end as b from w where len(w) > 0),
+g as (select uid, r, len(b) as n, unnest(b) as gram from b),
+m as (select uid, r, id, cast(2 * count(*) as double) / (n + size) as dice from g join known using (gram) group by uid, r, n, k, id, size),
+f as (select r, count(*) as n, string_agg(distinct id, ',' order by id) as ids, max(dice) as best from (select distinct * from m where dice >= cast(0.8 as double)) group by r)
+select doc_id, cast(coalesce(n, 0) as bigint) as n_matches, coalesce(ids, '') as licenses, round(coalesce(best, 0), 9) as best_dice
+from d left join f using (r)
+"""

@@ -19,6 +19,8 @@ QUERIES = {
 
 ORACLES = {
     "op1_mixing": mixing.ORACLE,
+    "op3_embed_dedup": embed_dedup.ORACLE,
+    "op6_license_scan": license_scan.oracle(),
     "op8_decontaminate": decontaminate.ORACLE,
     "op10_warc": warc.ORACLE,
 }
