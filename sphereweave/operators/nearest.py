@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from .radius import Axis, with_xyz
+from .radius import Axis, radius_join, with_xyz
 
 
 def knn(source: DataFrame, target: DataFrame, k: int = 1, points: int | None = None) -> DataFrame:
@@ -77,3 +77,11 @@ def grid_nearest(target: DataFrame, lat: Axis, lon: Axis) -> DataFrame:
     d = G.haversine_degrees(F.col("t_lon"), F.col("t_lat"), F.lit(lon.first) + F.col("ilon") * lon.step, F.lit(lat.first) + F.col("ilat") * lat.step)
     t = t.select("tid", F.struct(F.round(d, 12).alias("dist"), (F.col("ilat") * nlon + F.col("ilon")).alias("pid")).alias("b"))
     return t.groupBy("tid").agg(F.min("b").alias("b")).select("tid", "b.pid", "b.dist")
+
+
+def radius_knn(source: DataFrame, target: DataFrame, k: int) -> DataFrame:
+    """As knn, but only of points inside each target's radius (radians): target(tid, lon, lat, radius). A disk
+    with fewer points gives fewer rows, an empty one none."""
+    w = Window.partitionBy("tid").orderBy("dist", "pid")
+    m = radius_join(source, target).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return m.select("tid", "rank", "dist", *[c for c in source.columns if c not in ("lon", "lat")])

@@ -123,6 +123,19 @@ def validate(result: DataFrame, fields: Sequence[str]) -> DataFrame:
     return result
 
 
+def as_target(cloud: DataFrame, default_area: float, area: str = "area") -> DataFrame:
+    """cloud(pid, lon, lat, maybe an area) as target(tid, lon, lat, area in steradians); a missing or null area is the default."""
+    a = F.coalesce(F.col(area), F.lit(float(default_area))) if area in cloud.columns else F.lit(float(default_area))
+    return cloud.select(F.col("pid").alias("tid"), "lon", "lat", a.cast("double").alias("area"))
+
+
+def error_count(result: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """(field, n_errors): targets without a finite value, one pass over all fields."""
+    bad = lambda f: F.col(f).isNull() | F.isnan(f) | (F.abs(f) == float("inf"))
+    s = result.agg(*[F.count_if(bad(f)).alias(f"n_{k}") for k, f in enumerate(fields)])
+    return s.select(F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"n_{k}").alias("n_errors")) for k, f in enumerate(fields)])).alias("s")).select("s.*")
+
+
 def field_stats(result: DataFrame, fields: Sequence[str]) -> DataFrame:
     """(field, min, max, mean, count), one pass over all fields."""
     s = result.agg(*[g(f).alias(f"{n}_{k}") for k, f in enumerate(fields) for n, g in (("min", F.min), ("max", F.max), ("mean", F.avg), ("count", F.count))])

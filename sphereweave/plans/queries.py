@@ -12,14 +12,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..operators import axes as A
 from ..operators import quadrature as Q
 from ..operators import remap as R
-from ..operators.nearest import knn
+from ..operators.nearest import knn, radius_knn
 from ..operators.radius import Axis, grid_radius_join, radius_join
 
 GOLD, GOLD2 = 137.50776405003785, 222.49223594996215
 
 
+#: lon, lat, radius: both poles, a point at a pole row's edge, and one far from any.
+POLE_TARGETS = [(10, 90, 0.5), (200, -90, 0.5), (77, 80, 0.5), (5, 1, 0.25)]
+
+
 def _read(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
@@ -251,6 +256,58 @@ def typed_cast(spark, sf):
     return R.typed_cast(c, {"v": "int", "w": "smallint"}).select("pid", F.col("v").cast("long").alias("v"), F.col("w").cast("long").alias("w"))
 
 
+def axis_summary(spark, sf):
+    g, _, _ = _grid(spark, sf, False)
+    return A.axis_summary(g).select("axis", *[F.round(c, 9).alias(c) for c in ("lo", "hi", "spacing")], "n")
+
+
+def axis_recovery(spark, sf):
+    g, _, _ = _grid(spark, sf, False)
+    return A.recover_axes(g.select("pid", "lon", "lat")).select("pid", "ilat", "ilon")
+
+
+def nearest_axis_index(spark, sf):
+    _, lat, lon = _grid(spark, sf, False)
+    return _points(spark, sf, "part", "target").select("tid", A.nearest_index(lat, F.col("lat")).alias("ilat"), A.nearest_index(lon, F.col("lon")).alias("ilon"))
+
+
+def radius_knn_k3(spark, sf):
+    t = _points(spark, sf, "part", "target").withColumn("radius", G.area_radius(F.col("area"), 0.5))
+    m = radius_knn(_points(spark, sf, "orders", "cloud").select("pid", "lon", "lat"), t, 3)
+    return m.select("tid", F.col("rank").cast("long").alias("rank"), "pid")
+
+
+def grid_pole_query(spark, sf):
+    g, lat, lon = _grid(spark, sf, True)
+    t = spark.createDataFrame([(k, *map(float, v)) for k, v in enumerate(POLE_TARGETS)], "tid long, lon double, lat double, radius double")
+    return grid_radius_join(g, t, lat, lon, compat=True).groupBy("tid").agg(F.count("*").alias("n_matches"), F.sum("pid").alias("pid_sum"))
+
+
+def gll_bubble_area(spark, sf):
+    return Q.quad_nodes(_mesh(spark), bubble=True).groupBy("eid").agg(F.round(F.sum("jac"), 10).alias("area"))
+
+
+def chord_angle(spark, sf):
+    t = _points(spark, sf, "part", "target").select("tid", G.area_radius(F.col("area")).alias("radius"))
+    t = t.withColumn("chord", G.angle_to_chord(F.col("radius"))).withColumn("angle", G.chord_to_angle(F.col("chord")))
+    return t.select("tid", *[F.round(c, 10).alias(c) for c in ("radius", "chord", "angle")])
+
+
+def great_circle(spark, sf):
+    p, q = G.lonlat_to_xyz(F.col("lon"), F.col("lat")), G.lonlat_to_xyz(F.lit(10.0), F.lit(45.0))
+    return _points(spark, sf, "orders", "cloud").select("pid", F.round(G.great_circle(*p, *q, radius=G.EARTH_KM), 4).alias("km"))
+
+
+def cloud_as_target(spark, sf):
+    c = _points(spark, sf, "customer", "cloud").withColumn("area", F.when(F.col("v") > 0, F.col("v") / 1e9))
+    return R.as_target(c, 0.001).select("tid", F.round("lon", 9).alias("lon"), F.round("lat", 9).alias("lat"), F.round("area", 12).alias("area"))
+
+
+def error_count(spark, sf):
+    c = _points(spark, sf, "customer", "cloud").select(F.col("pid").alias("tid"), F.when(F.col("v") > 0, F.col("v")).alias("v"), F.lit(1.0).alias("one"))
+    return R.error_count(c, ["v", "one"])
+
+
 def _sql_grid_disk(grid: str, target: str, radius: str, extra: str) -> str:
     return f"""with s0 as ({grid}), t as ({target}), m0 as (select t.tid, s.*, {_HAV} as d, {radius} as r from t, s0 s),
 m1 as (select *, row_number() over (partition by tid, ilat order by ilon) as nth from m0 where d <= degrees(r)),
@@ -264,7 +321,24 @@ def oracles() -> dict[str, str]:
     grid_t = f"select pid as tid, lat, lon, cast(40.0 as double) * pi() / (select count(*) from s0) as area from s0"
     norm = "sqrt(mx * mx + my * my + mz * mz)"
     sums = ", ".join(f"({c}0 + {c}1 + {c}2 + {c}3) / 4 as m{c}" for c in "xyz")
+    pole_t = "select * from (values " + ", ".join(f"({k}, cast({a} as double), cast({b} as double), cast({c} as double))" for k, (a, b, c) in enumerate(POLE_TARGETS)) + ") as v(tid, lon, lat, radius)"
+    side = lambda i, j: f"acos(greatest(-1, least(1, x{i} * x{j} + y{i} * y{j} + z{i} * z{j})))"
+    lhuilier = lambda a, b, c: f"4 * atan(sqrt(greatest(0, tan(({a} + {b} + {c}) / 4) * tan(({b} + {c} - {a}) / 4) * tan(({a} + {c} - {b}) / 4) * tan(({a} + {b} - {c}) / 4))))"
     return {
+        "axis_summary": f"with g as ({_sql_grid(False)}), l as (select 'lat' as axis, lat as v from g union select 'lon', lon from g) select axis, round(min(v), 9) as lo, round(max(v), 9) as hi, round((max(v) - min(v)) / (count(*) - 1), 9) as spacing, count(*) as n from l group by axis",
+        "axis_recovery": f"select pid, dense_rank() over (order by lat) - 1 as ilat, dense_rank() over (order by lon) - 1 as ilon from ({_sql_grid(False)})",
+        "nearest_axis_index": f"""with g as ({_sql_grid(False)}), t as ({target}), la as (select distinct ilat, lat from g), lo as (select distinct ilon, lon from g)
+select tid, (select arg_min(ilat, {{'d': abs(la.lat - t.lat), 'i': ilat}}) from la) as ilat, (select arg_min(ilon, {{'d': abs(lo.lon - t.lon), 'i': ilon}}) from lo) as ilon from t""",
+        "radius_knn_k3": f"with {_sql_pairs(cloud, target)} select tid, rank, pid from (select tid, pid, row_number() over (partition by tid order by d, pid) as rank from (select t.tid, s.pid, {_CHORD} as d, cast(0.5 as double) * {r} as r from t, s) where d < 2 * sin(least(r, pi()) / 2)) where rank <= 3",
+        "grid_pole_query": f"""with s0 as ({_sql_grid(True)}), t as ({pole_t}), m0 as (select t.tid, t.lat as t_lat, t.radius, s.*, max(ilat) over () as top, {_HAV} as d from t, s0 s),
+m1 as (select *, row_number() over (partition by tid, ilat order by ilon) as nth from m0 where abs(t_lat) <> 90 and d <= degrees(radius)),
+m as (select tid, pid from m1 where abs(abs(lat) - 90) >= 1e-6 or nth = 1 union all select tid, pid from m0 where abs(t_lat) = 90 and ilat = case when t_lat > 0 then top else 0 end)
+select cast(tid as bigint) as tid, count(*) as n_matches, cast(sum(pid) as bigint) as pid_sum from m group by tid""",
+        "gll_bubble_area": f"with {_sql_mesh()} select cast(eid as bigint) as eid, round({lhuilier(side(0, 1), side(1, 2), side(2, 0))} + {lhuilier(side(0, 2), side(2, 3), side(3, 0))}, 10) as area from mesh",
+        "chord_angle": f"select tid, round({r}, 10) as radius, round(2 * sin({r} / 2), 10) as chord, round({r}, 10) as angle from ({target}) t",
+        "great_circle": f"with s as (select * from ({cloud})), t as (select cast(10 as double) as lon, cast(45 as double) as lat) select pid, round(radians({_HAV}) * cast({G.EARTH_KM} as double), 4) as km from s, t",
+        "cloud_as_target": f"select pid as tid, round(lon, 9) as lon, round(lat, 9) as lat, round(case when v > 0 then v / cast(1e9 as double) else cast(0.001 as double) end, 12) as area from ({_sql_points('customer', 'cloud')})",
+        "error_count": "select unnest(['v', 'one']) as field, unnest([count(*) filter (not (cast(round(c_acctbal * 100) as bigint) > 0)), 0]) as n_errors from customer",
         "disk_average": _sql_disk(1.0, ["v"]),
         "disk_average_alpha": _sql_disk(0.3, ["v"]),
         "disk_average_squared": _sql_disk(1.0, ["u", "u_squared"], cloud=f"select pid, lat, lon, u, u * u as u_squared from ({cloud})"),
@@ -296,4 +370,5 @@ select cast(eid as bigint) as eid, round(sum(w * v) / sum(w), 1) as v from k gro
 QUERIES = {f.__name__: f for f in (
     disk_average, disk_average_alpha, disk_average_squared, subgrid_variance, nearest_neighbor, knn_k5, radius_match_count, grid_disk_average, grid_nearest,
     grid_pole_dedup, self_smooth, self_smooth_grid, spectral_average, gll_jacobian_area, gll_nodes, rll_to_xyz, xyz_to_rll, haversine, element_centroid,
-    field_stats, structured_expand, typed_cast)}
+    field_stats, structured_expand, typed_cast, axis_summary, axis_recovery, nearest_axis_index, radius_knn_k3, grid_pole_query, gll_bubble_area, chord_angle,
+    great_circle, cloud_as_target, error_count)}

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 
 from sphereweave import cli
 from sphereweave.functions import geometry as G
+from sphereweave.operators import axes as A
 from sphereweave.operators import quadrature as Q
 from sphereweave.operators import remap as R
-from sphereweave.operators.nearest import grid_nearest, knn
+from sphereweave.operators.nearest import grid_nearest, knn, radius_knn
 from sphereweave.operators.radius import Axis, grid_radius_join, radius_join
 from sphereweave.plans import queries
 from sphereweave.sources import ncgrid, netcdf3, sinks
@@ -193,3 +194,34 @@ def test_command_line_and_sink(spark, tmp_path):
         with pytest.raises(ValueError):
             cli.run(spark, argv)
     assert cli.run(spark, ["--source", src, "--target", tgt]).count() == 4
+
+
+def test_axes_of_points(spark):
+    g, rows, lat, lon = grid_of(spark, 5, 8, -180.0, True)
+    got = A.recover_axes(g.select("pid", "lon", "lat", "v").orderBy(F.desc("v")))
+    assert {(r.pid, r.ilat, r.ilon) for r in got.collect()} == {(r[0], r[1], r[2]) for r in rows}
+    for bad in (g.where("pid <> 3"), g.union(g.where("pid = 3"))):
+        with pytest.raises(ValueError):
+            A.recover_axes(bad.drop("ilat", "ilon"))
+    with pytest.raises(ValueError):
+        A.recover_axes(g.drop("ilat", "ilon"), max_axis=4)
+    assert A.recover_axes(g.where("pid < 0").drop("ilat", "ilon")).count() == 0
+    assert [tuple(r) for r in A.axis_summary(g).collect()] == [("lat", -90.0, 90.0, 5, 45.0), ("lon", -180.0, 135.0, 8, 45.0)]
+    assert [tuple(r)[1:] for r in A.axis_summary(g.where("pid < 0")).collect()] == [(None, None, 0, None)] * 2
+    v = spark.createDataFrame([(-200.0,), (-90.0,), (-67.5,), (-67.4,), (0.0,), (95.0,), (None,)], "v double")
+    assert [r[0] for r in v.select(A.nearest_index(lat, F.col("v"))).collect()] == [0, 0, 0, 1, 2, 4, None]
+
+
+def test_radius_limited_nearest_and_errors(spark):
+    src = [(i, *p, float(i)) for i, p in enumerate(random_points(120, 7))]
+    tgt = [(i, *p, r) for i, (p, r) in enumerate(zip(random_points(40, 8), [0.1, 0.6, 3.0, 0.0] * 10))]
+    found = {(r.tid, r["rank"]): r.pid for r in radius_knn(cloud_of(spark, src), target_of(spark, tgt), 2).collect()}
+    want = {}
+    for x in tgt:
+        near = sorted((d, s[0]) for s in src if (d := chord(x[1:3], s[1:3])) < 2 * math.sin(min(x[3], math.pi) / 2))
+        want |= {(x[0], k + 1): p for k, (_, p) in enumerate(near[:2])}
+    assert found == want
+    out = spark.createDataFrame([(0, 1.0, None), (1, float("nan"), 2.0), (2, float("inf"), 3.0)], "tid long, a double, b double")
+    assert {tuple(r) for r in R.error_count(out, ["a", "b"]).collect()} == {("a", 2), ("b", 1)}
+    t = R.as_target(spark.createDataFrame([(1, 0.0, 0.0, None), (2, 0.0, 0.0, 0.5)], "pid long, lon double, lat double, area double"), 0.1)
+    assert {tuple(r) for r in t.collect()} == {(1, 0.0, 0.0, 0.1), (2, 0.0, 0.0, 0.5)} and R.as_target(t.withColumnRenamed("tid", "pid").drop("area"), 2.0).first()["area"] == 2.0
