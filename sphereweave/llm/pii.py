@@ -8,9 +8,10 @@ within `reach` words of an entity of each kind. A term t discloses kind c when
     PMI(c; t) = log2( p(c, t) / (p(c) p(t)) )  >=  alpha * IC(c),   IC(c) = -log2 p(c)
 
 that is, when seeing t gives at least the share alpha of the information that c itself
-holds, and when t was seen near c at least `support` times and in at least a `rate`-th of
-all words near entities. The latter bounds the list: at most 1/rate terms a kind, so
-it is broadcast. p(c) is the share of all words that lie near an entity of kind c.
+holds, and when t was seen near c at least `support` times, whatever the corpus size. The
+list stays a table and is counted: up to MAX_BROADCAST terms are broadcast; a longer list is
+joined to the terms that the texts hold. p(c) is the share of all words that lie near an
+entity of kind c.
 
 Disclosing terms that stand near an entity become spans of kind `term`; sanitise() replaces
 entities by their kind and, by default, terms by the generalisation `[term]` (or removes them).
@@ -25,6 +26,7 @@ Long texts are scanned in time linear in their length: emails are looked for aro
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -145,27 +147,72 @@ def term_counts(docs: DataFrame, reach: int) -> DataFrame:
     return sums.groupBy("term").agg(F.sum("n").alias("n"), *[F.sum(f"n_{k}").alias(f"n_{k}") for k in KINDS])
 
 
-def disclosing_terms(docs: DataFrame, reach: int = 3, alpha: float = 0.5, support: int = 20, rate: float = 1e-3) -> dict[str, set[str]]:
-    """By kind, the terms that disclose it; at most 1/rate a kind."""
+def disclosing(docs: DataFrame, reach: int = 3, alpha: float = 0.5, support: int = 20) -> DataFrame:
+    """(kind, term): the terms that disclose a kind."""
     near = [f"n_{k}" for k in KINDS]
     counts = term_counts(docs, reach)
     seen = cut(counts.groupBy(F.expr(" or ".join(f"{c} >= {support}" for c in near)).alias("often"),
                               F.when(F.expr(" or ".join(f"{c} >= {support}" for c in near)), F.col("term")).alias("term"))
                .agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in near]), "terms")
     total = seen.agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in near]).first()
-    out: dict[str, set[str]] = {k: set() for k in KINDS}
+    kinds = []
     for k in KINDS:
-        c = total[f"n_{k}"] or 0
-        if not c:
-            continue
-        p = c / total["n"]
-        pmi = F.log2(F.col(f"n_{k}") / F.lit(float(c)) / (F.col("n") / F.lit(float(total["n"]))))
-        ic = -F.log2(F.lit(p))
-        rows = seen.where((F.col(f"n_{k}") >= support) & (F.col(f"n_{k}") >= rate * c) & (pmi >= alpha * ic)).select("term").collect()
-        out[k] = {r[0] for r in rows}
+        if c := total[f"n_{k}"]:
+            pmi = F.log2(F.col(f"n_{k}") / F.lit(float(c)) / (F.col("n") / F.lit(float(total["n"]))))
+            ic = -math.log2(c / total["n"])
+            kinds.append(F.when((F.col(f"n_{k}") >= support) & (pmi > 0) & (pmi >= alpha * ic), F.lit(k)))
+    found = F.array_compact(F.array(*kinds)) if kinds else F.array().cast("array<string>")
+    return cut(seen.where("often").select(F.explode(found).alias("kind"), "term"), "disclosing")
+
+
+def _by_kind(rows) -> dict[str, set[str]]:
+    out: dict[str, set[str]] = {k: set() for k in KINDS}
+    for kind, term in rows:
+        out[kind].add(term)
     return out
 
 
+def disclosing_terms(docs: DataFrame, reach: int = 3, alpha: float = 0.5, support: int = 20) -> dict[str, set[str]]:
+    """By kind, the terms that disclose it, all of them brought to the driver."""
+    return _by_kind(disclosing(docs, reach, alpha, support).collect())
+
+
+MAX_BROADCAST = 200_000  # terms; some 20 MB in a Python worker
+
+
+def _held_terms(docs: DataFrame, terms: DataFrame, reach: int) -> DataFrame:
+    """(__p_key, __p_terms): for each text that holds some of the terms, those it holds, as 'kind term'."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cols, rows = ["__p_key", "kind", "term"], []
+        for pdf in batches:
+            for key, text in zip(pdf["__p_key"], pdf["text"]):
+                if base := base_spans(text):
+                    rows += {(key, kind, t) for kind, found in near_words(text, base, reach).items() for t, _, _ in found}
+                if len(rows) > FLUSH:
+                    yield pd.DataFrame(rows, columns=cols)
+                    rows = []
+        yield pd.DataFrame(rows, columns=cols)
+
+    held = docs.where("text is not null").select(F.md5("text").alias("__p_key"), "text").mapInPandas(run, "__p_key string, kind string, term string")
+    held = held.join(terms, ["kind", "term"]).distinct()
+    return held.groupBy("__p_key").agg(F.collect_set(F.concat_ws(" ", "kind", "term")).alias("__p_terms"))
+
+
+def with_terms(docs: DataFrame, terms: DataFrame | dict[str, set[str]], reach: int, max_broadcast: int = MAX_BROADCAST):
+    """docs with __p_terms, and a function that gives a row's terms by kind from that column: the
+    terms of the row's own text if the list is long, else null, which stands for the whole list."""
+    none = F.lit(None).cast("array<string>")
+    if isinstance(terms, DataFrame):
+        if terms.count() > max_broadcast:
+            held = cut(_held_terms(docs, terms, reach), "held")
+            docs = docs.withColumn("__p_key", F.md5("text")).join(held, "__p_key", "left").drop("__p_key")
+            return docs, lambda own: _by_kind([] if own is None else [x.split(" ") for x in own])
+        terms = _by_kind(terms.collect())
+    shared = docs.sparkSession.sparkContext.broadcast(terms)
+    return docs.withColumn("__p_terms", none), lambda own: shared.value
+
+
 def all_spans(text: str, terms: dict[str, set[str]], reach: int) -> tuple[list, list]:
     """Base spans, and terms' spans that overlap none of them, by start."""
     base = base_spans(text)
@@ -175,18 +222,18 @@ def all_spans(text: str, terms: dict[str, set[str]], reach: int) -> tuple[list,
     return base, [("term", a, b) for a, b in sorted(extra)]
 
 
-def sanitise(docs: DataFrame, terms: dict[str, set[str]] | None = None, reach: int = 3, remove_terms: bool = False) -> DataFrame:
+def sanitise(docs: DataFrame, terms: DataFrame | dict[str, set[str]] | None = None, reach: int = 3, remove_terms: bool = False,
+             max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """docs with its own columns; entities in `text` are replaced by [KIND], disclosing terms
     by [term] or by nothing. n_chars, if there, follows the text."""
-    if terms is None:
-        terms = disclosing_terms(docs, reach)
+    known, terms_of = with_terms(docs, disclosing(docs, reach) if terms is None else terms, reach, max_broadcast)
 
     @F.pandas_udf("string")
-    def clean(texts: pd.Series) -> pd.Series:
-        def one(text):
+    def clean(texts: pd.Series, held: pd.Series) -> pd.Series:
+        def one(text, own):
             if not text:
                 return text
-            base, extra = all_spans(text, terms, reach)
+            base, extra = all_spans(text, terms_of(own), reach)
             if not base:
                 return text
             out, last, spans = [], 0, sorted([(a, -b, k) for k, a, b in base] + [(a, -b, k) for k, a, b in extra])
@@ -198,9 +245,9 @@ def sanitise(docs: DataFrame, terms: dict[str, set[str]] | None = None, reach: i
                 last = b
             return "".join([*out, text[last:]])
 
-        return texts.map(one)
+        return pd.Series([one(t, own) for t, own in zip(texts, held)], dtype=object)
 
-    out = docs.withColumn("text", clean("text"))
+    out = known.withColumn("text", clean("text", "__p_terms")).select(*[F.col(f"`{c}`") for c in docs.columns])
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
@@ -211,17 +258,17 @@ def _joined(spans: list) -> str:
 def op9_pii(spark, sf_dir: str) -> DataFrame:
     reach = 3
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    terms = disclosing_terms(docs, reach)
+    known, terms_of = with_terms(docs, disclosing(docs, reach), reach)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for text in pdf["text"]:
-                base, extra = all_spans(text or "", terms, reach)
+            for text, own in zip(pdf["text"], pdf["__p_terms"]):
+                base, extra = all_spans(text or "", terms_of(own), reach)
                 n = Counter(k for k, _, _ in base)
                 rows.append((*(n[k] for k in KINDS), hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(base + extra)))
             out = pd.DataFrame(rows, columns=[*(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
             out.insert(0, "doc_id", pdf["doc_id"].astype("Int64").to_numpy(dtype=object))
             yield out
 
-    return docs.mapInPandas(scan, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return known.mapInPandas(scan, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")

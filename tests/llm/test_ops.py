@@ -210,6 +210,19 @@ def test_pii_finds_disclosing_terms(spark):
     assert "[term] [EMAIL]" in out[0][0] and "@" not in out[0][0] and out[0][1] == len(out[0][0]) and out[1][0] == texts[1][1]
 
 
+def test_pii_support_does_not_grow_with_the_corpus(spark):
+    """A term with the highest PMI passes at the same count however many other words stand near entities."""
+    r = random.Random(7)
+    w = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    line = lambda k: f"{w()} {w()} {w()} {'revealer' if k % 200 == 0 else w()} u{k}@mail.org {w()} {w()} {w()}"
+    texts = [(i, ". ".join(f"{line(20 * i + k)} {' '.join(w() for _ in range(12))}" for k in range(20))) for i in range(220)]
+    d = docs_of(spark, texts)
+    assert sum(t.count("revealer") for _, t in texts) == 22  # of some 26,000 near words
+    assert pii.disclosing_terms(d)["email"] == {"revealer"}
+    few, many = [{x.doc_id: (x.text, x.n_chars) for x in pii.sanitise(d, max_broadcast=m).collect()} for m in (10, 0)]
+    assert few == many and len(few) == 220 and "[term] [EMAIL]" in few[0][0] and "revealer" not in few[0][0]
+
+
 def test_language_and_toxicity_held_out(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang").toPandas().set_index("doc_id").lang
     got = langid.op7_langid(spark, SF).toPandas()
