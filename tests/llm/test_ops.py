@@ -223,6 +223,20 @@ def test_pii_support_does_not_grow_with_the_corpus(spark):
     assert few == many and len(few) == 220 and "[term] [EMAIL]" in few[0][0] and "revealer" not in few[0][0]
 
 
+def test_pii_terms_far_from_entities_and_without_one(spark):
+    r = random.Random(8)
+    w = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    texts = [(i, f"Farname {w(30)} u{i}@mail.org {w(9)} farname" if i % 5 == 0 else w(30)) for i in range(150)] + [(150, f"{w(3)} farname {w(3)}")]
+    d = docs_of(spark, texts)
+    assert pii.disclosing_terms(d)["email"] == {"farname"}
+    few, many = [{x.doc_id: x.text for x in pii.sanitise(d, max_broadcast=m).collect()} for m in (10, 0)]
+    assert few == many == {i: re.sub("(?i)farname", "[term]", re.sub(r"u[0-9]+@mail.org", "[EMAIL]", t)) for i, t in texts}
+    # a long word counts whole, and near ends by terms, not characters
+    long = "x" * 150
+    t = f"one {long} two, a@b.c {long} three four"
+    assert sorted(pii.near_words(pii.outside(t, pii.base_spans(t)), pii.base_spans(t), 3)["email"]) == sorted(["one", long, "two", long, "three", "four"])
+
+
 def test_language_and_toxicity_held_out(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang").toPandas().set_index("doc_id").lang
     got = langid.op7_langid(spark, SF).toPandas()
