@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_OWN_DIRS: dict[str, str] = {}
+from ..work import clean, cut, release, shared_dir, shared_path  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,36 +13,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's spark.checkpoint.dir.
-
-    Only a local-mode session without that setting (tests) gets a folder of its own.
-    """
-    conf = spark.sparkContext.getConf()
-    found = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    master = conf.get("spark.master", "")
-    if not master.startswith("local[") and master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN_DIRS:
-        _OWN_DIRS[app] = "file://" + tempfile.mkdtemp(prefix="checkpoint-")
-    return _OWN_DIRS[app]
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: the lineage ends
-    there, and a lost executor costs only tasks that read those files again."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def held_out(doc_id: Column, folds: int) -> Column:
     """crc32(doc_id as text) mod folds = 0; a null id counts as held out."""
     return F.coalesce(
@@ -60,34 +27,34 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
-def min_labels(links: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """Connected components of links(a, b): one row (id, label) per linked id, label the
-    smallest id reachable. Each round takes the smallest label among neighbours and then
-    the label's own label (pointer jumping), so paths shorten geometrically; the rounds
-    end when nothing changes. Everything stays distributed; hubs only meet partial
-    aggregates and joins that adaptive execution may split."""
-    both = cut(
-        links.where("a is not null and b is not null and a <> b")
-        .select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        .where("a is not null and b is not null and a <> b").distinct(), "edges",
-    )
-    labels = cut(
-        both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m"))
-        .select("id", F.least("id", "m").alias("label")), "labels",
-    )
-    for _ in range(max_rounds):
-        near = (
-            both.join(labels.select(F.col("id").alias("b"), "label"), "b")
-            .groupBy(F.col("a").alias("id")).agg(F.min("label").alias("m"))
-        )
-        hooked = labels.join(near, "id", "left").select(
-            "id", F.col("label").alias("old"), F.least("label", "m").alias("label"))
-        up = labels.select(F.col("id").alias("label"), F.col("label").alias("top"))
-        after = cut(
-            hooked.join(up, "label", "left")
-            .select("id", "old", F.least("label", "top").alias("label")), "labels")
-        changed = after.where("label <> old").limit(1).count()
-        labels = after.select("id", "label")
-        if not changed:
-            return labels
-    raise RuntimeError("components did not settle")
+def min_labels(links: DataFrame) -> DataFrame:
+    """Connected components of links(a, b): one row (id, label) per linked id, label the smallest id reachable.
+
+    Every id has a parent, at first itself. A round takes m, the smallest grandparent among an id's neighbours, hooks
+    both the id and its parent to m (so a root hears of smaller labels that its members have met), and moves the id to
+    its grandparent. The rounds end when nothing changes; their number grows with the logarithm of the longest path
+    (a random path of 3,000 takes 14, one of a million 23). Everything stays distributed: hubs meet partial aggregates and joins
+    that adaptive execution may split. A round's table is deleted once the next one is written."""
+    links = links.where("a is not null and b is not null and a <> b")
+    both = cut(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    # the first round has no need of joins: grandparents are the ids themselves
+    near = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("f"))
+    labels = cut(_with_grandparents(near.select(F.col("a").alias("id"), "f"), F.lit(True)), "labels")
+    while labels.where("moved").limit(1).count():
+        near = (both.join(labels.select(F.col("id").alias("b"), "g"), "b").groupBy(F.col("a").alias("id")).agg(F.min("g").alias("m")))
+        own = labels.select("id", "f", "g").join(near, "id")
+        tries = own.select(F.explode(F.array(
+            F.struct("id", F.least("f", "g", "m").alias("f"), F.struct("f", "g").alias("old")),
+            F.struct(F.col("f").alias("id"), F.col("m").alias("f"), F.lit(None).cast(own.select(F.struct("f", "g")).schema[0].dataType).alias("old")))).alias("s")).select("s.*")
+        hooked = tries.groupBy("id").agg(F.min("f").alias("f"), F.max("old").alias("old"))
+        after = cut(_with_grandparents(hooked, (F.col("f") != F.col("old.f")) | (F.col("g") != F.col("old.g"))), "labels")
+        release(labels)
+        labels = after
+    release(both)
+    return labels.select("id", F.col("f").alias("label"))
+
+
+def _with_grandparents(labels: DataFrame, moved: Column) -> DataFrame:
+    """labels(id, f, ...) -> id, f, g (f's own parent), moved."""
+    up = labels.select(F.col("id").alias("f"), F.col("f").alias("g"))
+    return labels.join(up, "f").select("id", "f", "g", moved.alias("moved"))
