@@ -8,23 +8,25 @@ the whole subtree lacks is passed upwards. The level that each parent settles at
 closed form (children sorted by capacity per weight, running sums), so there is no loop.
 
 A leaf then takes a token prefix of its seeded epochs: epoch e orders the leaf's rows by
-md5(seed:e:doc_id); whole epochs come first, then rows of the next one until the first row
-that would pass the budget. A leaf's rows are never brought together: they are summed by
+md5(seed:e:doc_id:md5(text)); whole epochs come first, then rows of the next one until the first row
+that would pass the budget. The texts are read once, for a light table of ids, token counts and hashes in which rows that
+are equal in every column are one with a count. A leaf's rows are never brought together: they are summed by
 `BUCKETS` ranges of the md5, the ranges' running sum says which are in, which are out
-and which one holds the boundary, and only rows of that one are ordered. The md5 is
-uniform, so a hot source is spread over all ranges.
+and which one holds the boundary, and only light rows of that one are ordered. The md5 is
+uniform, so a hot source, or a hot id with different texts, is spread over all ranges, and a hot row is one light row.
 
 Tokens are runs of characters other than space and \\x09-\\x0D.
 
-Edge cases: null text has no tokens and is selected with the ranges around it; null lang or
-source is the leaf '(none)'; a leaf without a stated weight has weight 1, one of
-weight 0 gets nothing; repeated rows are separate rows, ordered by id, length and a hash of the text; an
-empty table gives no rows; extra columns are carried, internal names begin with `__m_`.
+Edge cases: null text has no tokens and is selected with the rows around it; null lang or
+source is the leaf '(none)'; a leaf without a stated weight has weight 1; a leaf whose budget is 0 (it has
+weight 0 or no tokens, or the budget is too small) gives no rows, not even empty ones; repeated rows are separate rows; an
+empty table gives no rows; extra columns are carried by `mix`, internal names begin with `__m_`.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -85,7 +87,7 @@ def budgets(sizes: DataFrame, weights: Mapping, share: float | None, budget: int
     """sizes(domain, language, source, tokens) -> the same with cap and alloc, one row a leaf."""
     leaf = sizes.withColumn("cap", (F.col("tokens") * epochs).cast("long"))
     total = leaf.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("t"))
-    root = (F.lit(int(budget)) if budget is not None else F.floor(F.col("t") * F.lit(int(round(share * 1000))) / 1000)).cast("long")
+    root = (F.lit(int(budget)) if budget is not None else F.floor(F.col("t").cast("decimal(20,0)") * F.lit(Decimal(repr(float(share)))).cast("decimal(18,15)"))).cast("long")
     b = total.select(root.alias("budget"), F.lit(1).alias("k"))
     for depth in (1, 2, 3):
         keys = list(LEVELS[:depth])
@@ -98,44 +100,79 @@ def budgets(sizes: DataFrame, weights: Mapping, share: float | None, budget: int
     return leaf.join(b.withColumnRenamed("budget", "alloc"), list(LEVELS))
 
 
-def mix(docs: DataFrame, weights: Mapping = WEIGHTS, share: float | None = 0.5, budget: int | None = None, epochs: int = 2,
-        seed: int = 7, domain: Column | None = None) -> DataFrame:
-    """docs' columns, and __m_epoch, __m_tokens, __m_domain: one row per selected (row, epoch).
-    The budget is `budget` tokens, or `share` (to a thousandth) of all tokens."""
-    names = docs.columns
-    d = docs.withColumns({
+KEY = ("__m_domain", "__m_lang", "__m_source")
+
+
+def _hashable(docs: DataFrame) -> list[Column]:
+    """All columns, maps (which Spark doesn't hash) as their JSON."""
+    return [F.to_json(F.col(f"`{f.name}`")) if f.dataType.typeName() == "map" else F.col(f"`{f.name}`") for f in docs.schema.fields]
+
+
+def _keyed(docs: DataFrame, domain: Column | None) -> DataFrame:
+    """docs with its leaf, and a hash of the whole row."""
+    return docs.withColumns({
         "__m_domain": F.coalesce(default_domain(F.col("source")) if domain is None else domain, F.lit("(none)")),
         "__m_lang": F.coalesce(F.col("lang"), F.lit("(none)")), "__m_source": F.coalesce(F.col("source"), F.lit("(none)")),
-        "__m_tokens": n_tokens(F.col("text"))})
-    key = ["__m_domain", "__m_lang", "__m_source"]
-    d = d.withColumn("__m_epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
-    d = d.withColumn("__m_h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("__m_epoch").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")))
-    d = d.withColumn("__m_b", F.substring("__m_h", 1, 3))
-    light = d.select(*key, "__m_epoch", "__m_b", "__m_tokens")
-    parts = light.groupBy(*key, "__m_epoch", "__m_b").agg(F.sum("__m_tokens").alias("t"))
-    parts = cut(parts, "ranges")
-    sizes = parts.where("__m_epoch = 0").groupBy(*key).agg(F.sum("t").alias("tokens")).toDF(*LEVELS, "tokens")
-    leaf = budgets(sizes, weights, share, budget, epochs).select(*[F.col(a).alias(b) for a, b in zip(LEVELS, key)], "alloc")
+        "__m_x": F.xxhash64(*_hashable(docs))})
+
+
+def choose(docs: DataFrame, weights: Mapping = WEIGHTS, share: float | None = 0.5, budget: int | None = None, epochs: int = 2,
+           seed: int = 7, domain: Column | None = None) -> DataFrame:
+    """What is selected, without the texts: one row per epoch and distinct row of docs that is in it: its leaf, doc_id, lang, source,
+    __m_x, __m_epoch, __m_tokens and __m_take, how many of the equal rows are taken, of __m_n."""
+    key = list(KEY)
+    d = _keyed(docs, domain).select(*key, "doc_id", "lang", "source", "__m_x", n_tokens(F.col("text")).alias("__m_tokens"),
+                                    F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("__m_text"))
+    # the hash of the row stands first: a hot source meets partial sums, and no key of the exchange is hot
+    light = cut(d.groupBy("__m_x", *key, "doc_id", "lang", "source", "__m_tokens", "__m_text").agg(F.count("*").alias("__m_n")), "light")
+    e = light.withColumn("__m_epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
+    name = F.concat_ws(":", F.lit(str(seed)), F.col("__m_epoch").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "__m_text")
+    e = e.withColumn("__m_h", F.md5(name.cast("binary"))).withColumn("__m_b", F.substring("__m_h", 1, 3))
+    parts = cut(e.groupBy(*key, "__m_epoch", "__m_b").agg(F.sum(F.col("__m_tokens") * F.col("__m_n")).alias("__m_t")), "ranges")
+    sizes = parts.where("__m_epoch = 0").groupBy(*key).agg(F.sum("__m_t").alias("tokens")).toDF(*LEVELS, "tokens")
+    leaf = budgets(sizes, weights, share, budget, epochs).where("alloc > 0").select(*[F.col(a).alias(b) for a, b in zip(LEVELS, key)], F.col("alloc").alias("__m_alloc"))
     # at most epochs * BUCKETS sums a leaf; the first range that would pass the budget is the boundary
     run = Window.partitionBy(*key).orderBy("__m_epoch", "__m_b").rowsBetween(Window.unboundedPreceding, 0)
     at = F.struct(F.col("__m_epoch").alias("e"), F.col("__m_b").alias("b"))
-    over = F.col("run") > F.col("alloc")
-    bound = (parts.withColumn("run", F.sum("t").over(run)).join(leaf, key).groupBy(*key)
-             .agg(F.min(F.when(over, at)).alias("bound"), F.min(F.when(over, F.struct(at.alias("at"), (F.col("alloc") - F.col("run") + F.col("t")).alias("room"))))["room"].alias("room")))
+    over, spare = F.col("__m_run") > F.col("__m_alloc"), F.col("__m_alloc") - F.col("__m_run") + F.col("__m_t")
+    bound = (parts.withColumn("__m_run", F.sum("__m_t").over(run)).join(leaf, key).groupBy(*key)
+             .agg(F.min(F.when(over, F.struct(at.alias("at"), spare.alias("room")))).alias("__m_end")))
     # one row a leaf; as a written table its size is known, and Spark broadcasts it only below
     # spark.sql.autoBroadcastJoinThreshold
-    d = d.join(cut(bound, "bounds"), key)
-    here = F.struct(F.col("__m_epoch").alias("e"), F.col("__m_b").alias("b"))
-    inside = d.where(F.col("bound").isNull() | (here < F.col("bound")))
-    edge = Window.partitionBy(*key, "__m_epoch", "__m_b").orderBy("__m_h", "doc_id", "__m_tokens", "__m_x").rowsBetween(Window.unboundedPreceding, 0)
-    border = (d.where(here == F.col("bound")).withColumn("__m_x", F.xxhash64("text"))
-              .withColumn("__m_run", F.sum("__m_tokens").over(edge)).where("__m_run <= room"))
-    cols = [*[F.col(f"`{c}`") for c in names], "__m_domain", "__m_epoch", "__m_tokens"]
+    e = e.join(cut(bound, "bounds"), key)
+    inside = e.where(F.col("__m_end").isNull() | (at < F.col("__m_end.at"))).withColumn("__m_take", F.col("__m_n"))
+    edge = Window.partitionBy(*key, "__m_epoch", "__m_b").orderBy("__m_h", "doc_id", "__m_tokens", "lang", "source", "__m_x").rowsBetween(Window.unboundedPreceding, -1)
+    border = e.where(at == F.col("__m_end.at")).withColumn("__m_left", F.col("__m_end.room") - F.coalesce(F.sum(F.col("__m_tokens") * F.col("__m_n")).over(edge), F.lit(0)))
+    fit = F.when(F.col("__m_tokens") > 0, F.least(F.col("__m_n"), F.floor(F.col("__m_left") / F.col("__m_tokens")))).otherwise(F.col("__m_n"))
+    border = border.where("__m_left >= 0").withColumn("__m_take", fit.cast("long")).where("__m_take > 0")
+    cols = [*key, "doc_id", "lang", "source", "__m_x", "__m_epoch", "__m_tokens", "__m_n", "__m_take"]
     return inside.select(*cols).union(border.select(*cols))
 
 
+def mix(docs: DataFrame, weights: Mapping = WEIGHTS, share: float | None = 0.5, budget: int | None = None, epochs: int = 2,
+        seed: int = 7, domain: Column | None = None) -> DataFrame:
+    """docs' columns, and __m_epoch, __m_tokens, __m_domain: one row per selected (row, epoch).
+    The budget is `budget` tokens, or `share` of all tokens, rounded down."""
+    chosen = choose(docs, weights, share, budget, epochs, seed, domain)
+    # a row's epochs together; rows that are equal in every column are told apart by nothing, so the first ones can be any
+    each = chosen.groupBy("__m_x", *KEY).agg(F.collect_list(F.struct("__m_epoch", "__m_take")).alias("__m_in"), F.max("__m_n").alias("__m_n"),
+                                             F.first("__m_tokens").alias("__m_tokens"))
+    each = cut(each, "chosen")
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    out = [*names, "__m_domain", F.col("__m_e.__m_epoch").alias("__m_epoch"), "__m_tokens"]
+    d = _keyed(docs, domain).join(each, ["__m_x", *KEY])
+    once = d.where("__m_n = 1").withColumn("__m_e", F.explode("__m_in")).select(*out)
+    if not each.where("__m_n > 1").limit(1).count():
+        return once
+    again = d.where("__m_n > 1").groupBy("__m_x", *KEY).agg(F.first(F.struct(*names)).alias("__m_row"), F.first("__m_in").alias("__m_in"), F.first("__m_tokens").alias("__m_tokens"))
+    again = again.withColumn("__m_e", F.explode("__m_in")).withColumn("__m_copy", F.explode(F.sequence(F.lit(1), F.col("__m_e.__m_take").cast("int"))))
+    own = [F.col(f"__m_row.`{c}`").alias(c) for c in docs.columns]
+    return once.union(again.select(*own, "__m_domain", F.col("__m_e.__m_epoch").alias("__m_epoch"), "__m_tokens"))
+
+
 def op1_mixing(spark, sf_dir: str) -> DataFrame:
-    m = mix(table(spark, sf_dir, "documents"))
+    m = choose(table(spark, sf_dir, "documents"))
+    m = m.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__m_take").cast("int"))))
     return m.select("doc_id", F.col("__m_domain").alias("domain"), "lang", "source", F.col("__m_epoch").cast("long").alias("epoch"),
                     F.col("__m_tokens").cast("long").alias("n_tokens"))
 
@@ -162,17 +199,17 @@ b{name} as (select {k}, case when full_ then cap when ow > 0 then least(cap, (re
 
 
 ORACLE = r"""
-with base as (select doc_id, lang as lang0, source as source0, xh, n_tokens,
+with base as (select doc_id, lang as lang0, source as source0, th, n_tokens,
   case when num = '' then 'other' when cast(right(num, 1) as int) % 2 = 0 then 'web' else 'books' end as domain,
   coalesce(lang, '(none)') as language, coalesce(source, '(none)') as source
-  from (select *, regexp_extract(coalesce(source, ''), '([0-9]+)$', 1) as num, md5(coalesce(text, '')) as xh,
+  from (select *, regexp_extract(coalesce(source, ''), '([0-9]+)$', 1) as num, md5(coalesce(text, '')) as th,
     len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \x09-\x0D]+'), lambda x: x <> '')) as n_tokens from documents)),
 leaf as (select domain, language, source, sum(n_tokens) * 2 as cap from base group by all),
 b0 as (select cast(floor(coalesce(sum(cap), 0) // 2 * 500 / 1000) as hugeint) as budget from leaf),""" + _sql_level(
     ["domain"], [], "b0", "1") + "," + _sql_level(["domain", "language"], ["domain"], "b1", "2") + "," + _sql_level(
     ["domain", "language", "source"], ["domain", "language"], "b2", "3") + """,
-e as (select *, md5(concat('7:', epoch, ':', coalesce(cast(doc_id as varchar), ''))) as h from base, (select unnest([0, 1]) as epoch)),
-run as (select *, sum(n_tokens) over (partition by domain, language, source order by epoch, h, doc_id, n_tokens, xh rows unbounded preceding) as run from e)
+e as (select *, md5(concat('7:', epoch, ':', coalesce(cast(doc_id as varchar), ''), ':', th)) as h from base, (select unnest([0, 1]) as epoch)),
+run as (select *, sum(n_tokens) over (partition by domain, language, source order by epoch, h, doc_id nulls first, n_tokens, lang0 nulls first, source0 nulls first rows unbounded preceding) as run from e)
 select doc_id, domain, lang0 as lang, source0 as source, cast(epoch as bigint) as epoch, cast(n_tokens as bigint) as n_tokens
-from run join b3 using (domain, language, source) where run <= budget
+from run join b3 using (domain, language, source) where run <= budget and budget > 0
 """
