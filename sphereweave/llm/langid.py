@@ -5,8 +5,9 @@ one to three are hashed to 2**BITS features. A feature's value is its share of t
 n-grams times its inverse document frequency; document frequencies are counted over all
 training documents. A sparse multinomial logistic regression is trained by
 follow-the-regularised-leader (per coordinate, elastic net: L1 and L2) on a bounded sample
-of whole texts, `per_lang` of each of at most `max_langs` languages; a tenth of the sample,
-kept out of training, sets the temperature that calibrates the scores.
+of whole texts: of every language some `per_lang` (500), those of the smallest hashes while together they hold at most
+`max_chars` (16 million) characters, and one at least. A tenth of each language's sample (none of fewer than ten texts), kept out
+of training, sets the temperature that calibrates the scores. The table of weights takes 256 kB a language.
 
 As the value is linear in occurrences, a text is scored by summing one table row per n-gram.
 
@@ -24,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, table
+from .common import cut, held_out, table
 
 BITS = 16
 SCALE = 30.0
@@ -32,11 +33,11 @@ _TABLE: list[np.ndarray] = []
 
 
 def _letters() -> np.ndarray:
-    """Code point -> its lower-case letter, or a space. Beyond the first plane: itself if a letter."""
+    """Code point -> its lower-case letter, or a space."""
     if not _TABLE:
         t = np.full(0x110000, 32, np.uint32)
-        for c in range(0x30000):
-            if not 0xD800 <= c < 0xE000 and (ch := chr(c)).isalpha():
+        for c in range(0x110000):
+            if (ch := chr(c)).isalpha():
                 t[c] = ord(low) if len(low := ch.lower()) == 1 else c
         _TABLE.append(t)
     return _TABLE[0]
@@ -99,59 +100,79 @@ def train(texts: list, langs: list[str], idf: np.ndarray, epochs: int = 4, alpha
           l2: float = 0.02, seed: int = 5) -> tuple[list[str], np.ndarray, float]:
     """Names, weights (feature, language) and temperature."""
     names = sorted(set(langs))
-    rows = [(names.index(y), *v) for t, y in zip(texts, langs) if (v := _values(t, idf))]
+    place = {name: k for k, name in enumerate(names)}
+    rows = [(place[y], *v) for t, y in zip(texts, langs) if (v := _values(t, idf))]
     if not rows:
-        return [], np.zeros((1 << BITS, 1)), 1.0
-    k = len(names)
-    z, n, w = np.zeros((1 << BITS, k)), np.zeros((1 << BITS, k)), np.zeros((1 << BITS, k))
+        return [], np.zeros((1 << BITS, 1), np.float32), 1.0
+    z, n = np.zeros((1 << BITS, len(names)), np.float32), np.zeros((1 << BITS, len(names)), np.float32)
+
+    def weights(zu: np.ndarray, nu: np.ndarray) -> np.ndarray:
+        return np.where(np.abs(zu) <= l1, 0.0, -(zu - np.sign(zu) * l1) / ((beta + np.sqrt(nu)) / alpha + l2))
+
     rng = np.random.default_rng(seed)
-    order = rng.permutation(len(rows))
-    hold, fit = order[: len(rows) // 10], order[len(rows) // 10:]
+    hold, fit, seen, of = [], [], [0] * len(names), np.bincount([r[0] for r in rows], minlength=len(names))
+    for r in rng.permutation(len(rows)):
+        y = rows[r][0]
+        seen[y] += 1
+        (hold if seen[y] <= of[y] // 10 else fit).append(r)
     for _ in range(epochs):
         for r in rng.permutation(fit):
             y, u, x = rows[r]
-            s = x @ w[u]
+            zu, nu = z[u], n[u]
+            w = weights(zu, nu)
+            s = x @ w
             p = np.exp(s - s.max())
             p /= p.sum()
             p[y] -= 1
             g = x[:, None] * p[None, :]
-            sq = g * g
-            sigma = (np.sqrt(n[u] + sq) - np.sqrt(n[u])) / alpha
-            z[u] += g - sigma * w[u]
-            n[u] += sq
-            zu = z[u]
-            w[u] = np.where(np.abs(zu) <= l1, 0.0, -(zu - np.sign(zu) * l1) / ((beta + np.sqrt(n[u])) / alpha + l2))
-    w[0] = 0
-    grid, best = np.geomspace(0.1, 10, 41), (np.inf, 1.0)
-    if len(hold):
-        s = np.array([rows[r][2] @ w[rows[r][1]] for r in hold])
+            more = nu + g * g
+            z[u] = zu + g - (np.sqrt(more) - np.sqrt(nu)) / alpha * w
+            n[u] = more
+    best, w_of = (np.inf, 1.0), lambda u: weights(z[u], n[u])
+    if hold:
+        s = np.array([rows[r][2] @ w_of(rows[r][1]) for r in hold])
         y = np.array([rows[r][0] for r in hold])
-        for t in grid:
+        for t in np.geomspace(0.1, 10, 41):
             a = s / t
             a = a - a.max(1, keepdims=True)
             best = min(best, (float(np.mean(np.log(np.exp(a).sum(1)) - a[np.arange(len(y)), y])), float(t)))
+    w = weights(z, n).astype(np.float32)
+    w[0] = 0
     return names, w, best[1]
 
 
-def sample(docs: DataFrame, per_lang: int, max_langs: int) -> tuple[list, list]:
-    """Whole texts, about per_lang of each language and never more than twice that in total."""
-    counts = docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
-    if not counts:
+def sample(docs: DataFrame, per_lang: int, max_chars: int) -> tuple[list, list]:
+    """Whole texts, about per_lang of each language, in all at most max_chars characters but for each language's first."""
+    counts = cut(docs.groupBy("lang").count(), "languages")  # one row a language
+    place = F.pmod(F.xxhash64(F.col("doc_id"), F.xxhash64("text")), F.lit(1 << 30)) / float(1 << 30)
+    share = F.least(F.lit(1.0), F.lit(float(per_lang)) / F.col("count"))
+    d = docs.withColumn("place", place).join(counts, "lang")
+    d = d.withColumn("room", F.col("place") / share)  # below 1: in the sample
+    k = counts.count()
+    # ids alone are ranked; texts follow once it is known how far the characters reach
+    light = d.where("room < 1").select("lang", "room", F.length("text").alias("n")).limit(2 * per_lang * max(1, k)).collect()
+    light += d.groupBy("lang").agg(F.min(F.struct("room", F.length("text").alias("n"))).alias("s")).select("lang", "s.room", "s.n").collect()
+    last, left, seen = {}, max_chars, set()
+    for room, lang, n in sorted({(r["room"], r["lang"], r["n"] or 0) for r in light}):
+        if lang not in last or (lang not in seen and n <= left):
+            last[lang] = room
+            left -= n
+        else:
+            seen.add(lang)
+    if not last:
         return [], []
-    share = F.lit(None).cast("double")
-    for r in counts:
-        share = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, per_lang / r["count"]))).otherwise(share)
-    place = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("langid")), F.lit(1 << 30)) / float(1 << 30)
-    rows = docs.where(place < share).orderBy(place, "doc_id", "text").limit(2 * per_lang * len(counts)).select("text", "lang").collect()
+    ends = docs.sparkSession.createDataFrame(list(last.items()), "lang string, last double")
+    rows = d.join(F.broadcast(ends), "lang").where("room <= last").select("text", "lang", "room").collect()
+    rows.sort(key=lambda r: (r["room"], r["lang"], r["text"] or ""))
     return [r["text"] for r in rows], [r["lang"] for r in rows]
 
 
-def fit(docs: DataFrame, per_lang: int = 500, max_langs: int = 64):
+def fit(docs: DataFrame, per_lang: int = 500, max_chars: int = 16_000_000):
     """The model, learned from docs(doc_id, text, lang) whose lang is not null."""
     docs = docs.where("lang is not null").select("doc_id", "text", "lang")
     df, n = document_frequencies(docs)
     idf = np.log((1 + n) / (1 + df)) + 0.1
-    names, w, t = train(*sample(docs, per_lang, max_langs), idf)
+    names, w, t = train(*sample(docs, per_lang, max_chars), idf)
     return names, (w * idf[:, None] * (SCALE / t)).astype(np.float32)
 
 
