@@ -1,15 +1,15 @@
 """Toxicity by multiple-instance learning.
 
-A document is a bag of sentences (runs between . ! ? and line ends). A sentence's score is a
+A document is a bag of sentences (runs between line ends and . ! ? or their like in other scripts). A sentence's score is a
 logistic function of hashed features of its distinct words (the word, and its first 3 to 6
 bytes, which catches inflected stems); the document's score is the noisy-or of its sentences,
 1 - prod(1 - p). Weights are learned from document labels alone, by Adagrad on the noisy-or
 likelihood with an L1 shrinkage that keeps them sparse. `offending` then locates the
 sentences that carry the score.
 
-Training takes a bounded sample, `max_docs` labelled documents (half of each label at most,
-those of the smallest hash), texts whole; texts over `max_train_chars` are left to
-scoring. All statistics of the sample are the classifier's own. Scoring reads every text.
+Training takes a bounded sample, `max_docs` (4,000) labelled documents, half of each label at most, those of the
+smallest hash, while together they hold at most `max_chars` (64 million) characters; texts are whole, and a long one is as likely
+to be taken as a short one. All statistics of the sample are the classifier's own. Scoring reads every text.
 
 Edge cases: empty or null text scores the bag with one empty sentence; a doc_id with several
 labels takes the largest; null labels do not train; without any label every sentence has the
@@ -29,6 +29,8 @@ from .common import held_out, table
 from .textids import crc
 
 BITS = 18
+#: Sentence ends beyond ASCII (Chinese and full-width, Arabic and Urdu, Hindi, Ethiopic, Armenian, Burmese, Khmer, Tibetan, ellipsis).
+ENDS = str.maketrans(dict.fromkeys("。！？．｡؟۔।॥።፧፨։၊။។៕།…‼⁇⁈⁉", "."))
 _MAP = bytes(46 if chr(c) in ".!?\n" else 32 if c < 128 and not chr(c).isalpha() else c for c in range(256))
 
 
@@ -40,6 +42,8 @@ def _features(word: bytes) -> tuple[int, ...]:
 
 
 def words_of(text: str) -> list[bytes]:
+    if not text.isascii():
+        text = text.translate(ENDS)
     return text.encode("utf-8", "replace").lower().translate(_MAP).replace(b".", b" . ").split()
 
 
@@ -137,16 +141,28 @@ def scorer(w: np.ndarray, bias: float):
     return score
 
 
-def sample(docs: DataFrame, labels: DataFrame, max_docs: int, max_train_chars: int) -> tuple[list, list]:
-    """At most max_docs labelled texts outside the held-out fold, half of each label at most."""
+def sample(docs: DataFrame, labels: DataFrame, max_docs: int, max_chars: int) -> tuple[list, list]:
+    """At most max_docs labelled texts outside the held-out fold, half of each label at most, with max_chars characters at most."""
     lab = (labels.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id"), 5))
            .groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
     order = F.xxhash64(F.col("doc_id"), F.lit("toxicity"))
-    ids = lab.where("toxic = 1").orderBy(order, "doc_id").limit(max_docs // 2).union(
-        lab.where("toxic <> 1").orderBy(order, "doc_id").limit(max_docs // 2))
+    ids = lab.withColumn("o", order)
+    ids = ids.where("toxic = 1").orderBy("o", "doc_id").limit(max_docs // 2).union(
+        ids.where("toxic <> 1").orderBy("o", "doc_id").limit(max_docs // 2))
     chosen = docs.sparkSession.createDataFrame(ids.collect(), ids.schema)  # max_docs rows at most
-    rows = (docs.select("doc_id", "text").where(F.length("text") <= max_train_chars).join(F.broadcast(chosen), "doc_id")
-            .orderBy("doc_id", "text").limit(max_docs).collect())
+    d = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    # an id may stand on several rows: sizes come first, max_docs of them at most
+    sizes = d.select("o", "doc_id", F.xxhash64("text").alias("key"), F.coalesce(F.length("text"), F.lit(0)).alias("n")).distinct().orderBy("o", "doc_id", "key").limit(max_docs).collect()
+    kept, left = [], max_chars
+    for r in sizes:
+        if r["n"] <= left:
+            kept.append((r["doc_id"], r["key"]))
+            left -= r["n"]
+    if not kept:
+        return [], []
+    kept = docs.sparkSession.createDataFrame(kept, "doc_id long, key long")
+    rows = d.withColumn("key", F.xxhash64("text")).join(F.broadcast(kept), ["doc_id", "key"]).groupBy("doc_id", "key", "toxic").agg(F.first("text").alias("text")).collect()
+    rows.sort(key=lambda r: (r["doc_id"], r["key"]))
     return [r["text"] for r in rows], [int(r["toxic"] == 1) for r in rows]
 
 
@@ -160,11 +176,13 @@ def toxicity(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
         for pdf in batches:
             ps = [score(t) for t in pdf["text"]]
             yield pd.DataFrame({
-                "doc_id": pdf["doc_id"].astype("Int64").to_numpy(dtype=object),
+                "doc_id": pdf["doc_id"],
                 "score": [float(-np.expm1(np.log1p(-np.minimum(p, 1 - 1e-12)).sum())) for p in ps],
                 "n_sentences": [len(p) for p in ps], "worst": [int(p.argmax()) for p in ps]})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, score double, n_sentences long, worst long")
+    # ids pass the worker as text: beside a null, pandas would hold them as doubles
+    out = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(run, "doc_id string, score double, n_sentences long, worst long")
+    return out.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
 
 
 def offending(text: str, model: tuple[np.ndarray, float], least: float = 0.5) -> list[tuple[int, float]]:
@@ -172,9 +190,9 @@ def offending(text: str, model: tuple[np.ndarray, float], least: float = 0.5) ->
     return [(k, float(p)) for k, p in enumerate(scorer(*model)(text)) if p >= least]
 
 
-def op4_toxicity(spark, sf_dir: str, max_docs: int = 4000, max_train_chars: int = 20_000) -> DataFrame:
+def op4_toxicity(spark, sf_dir: str, max_docs: int = 4000, max_chars: int = 64_000_000) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = train(*sample(docs, table(spark, sf_dir, "labels"), max_docs, max_train_chars))
+    model = train(*sample(docs, table(spark, sf_dir, "labels"), max_docs, max_chars))
     out = toxicity(docs, model)
     return out.select("doc_id", held_out(F.col("doc_id"), 5).alias("held_out"), "score",
                       F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), "n_sentences", "worst")
