@@ -278,7 +278,10 @@ def op9_pii(spark, sf_dir: str) -> DataFrame:
                 n = Counter(k for k, _, _ in base)
                 rows.append((*(n[k] for k in KINDS), hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(base + extra)))
             out = pd.DataFrame(rows, columns=[*(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
-            out.insert(0, "doc_id", pdf["doc_id"].astype("Int64").to_numpy(dtype=object))
+            out.insert(0, "doc_id", pdf["doc_id"])
             yield out
 
-    return known.mapInPandas(scan, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    # ids pass the worker as text: beside a null, pandas would hold them as doubles
+    known = known.withColumn("doc_id", F.col("doc_id").cast("string"))
+    out = known.mapInPandas(scan, "doc_id string, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return out.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
