@@ -6,17 +6,19 @@ task its own file. Of records with equal payloads of at least `min_bytes` bytes,
 smallest page_id is a `response`, the others are `revisit` records without a block that refer to
 it and keep the payload's digest and length. Digests alone are grouped, payloads are not shuffled:
 the list of repeated digests is broadcast while it has at most `broadcast_rows` rows (counted
-first), beyond that it is joined by shuffle.
+first), beyond that it is joined by shuffle. Of rows that repeat the smallest page_id of a payload one is the response (the
+one with the smallest url, nulls last); the others, which have no block, are written from their counts.
 
 Reading: files are split at the magic `WARC/1.1 CR LF`, so tasks see byte ranges. Every magic is
 only a candidate: its header gives the offset of its successor. Candidates whose successor
 is the very next candidate form runs; pointer jumping over runs (links double every round) from
 offset 0 keeps the reachable ones, so a magic inside a payload is rejected and
-its record is put together again.
+its record is put together again. Windows run over lengths and offsets of one task's part of a file, and over a file's parts;
+payloads move only where a record has a magic inside, and then only to that record's other pieces.
 
 Edge cases: null html is an empty payload; null url has no target line, control characters in
 it are percent-encoded; a null page_id has no id line, is read back as null and is a response
-only if its payload has no row with an id; rows that repeat the smallest page_id are responses too; an
+only if its payload has no row with an id; an
 empty table gives no records; extra columns are ignored. A file whose chain breaks (cut off
 or damaged) yields the records before the break.
 """
@@ -35,9 +37,28 @@ def write_warc(pages: DataFrame, path: str, min_bytes: int = 100, broadcast_rows
     """pages(page_id, url, html) as archives below path."""
     p = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     p = p.select("page_id", "url", "html", F.sha2(F.col("html").cast("binary"), 256).alias("digest"), F.octet_length("html").alias("bytes"))
-    first = cut(p.where(F.col("bytes") >= min_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select("digest", "first"), "repeated")
-    p = p.join(F.broadcast(first) if first.count() <= broadcast_rows else first, "digest", "left")
+    each = p.where(F.col("bytes") >= min_bytes).groupBy("digest", "page_id").agg(F.count("*").alias("c"))
+    least = F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "c"))).alias("f")
+    first = each.groupBy("digest").agg(least, F.sum("c").alias("n")).where("n > 1 and f is not null")
+    first = cut(first.select("digest", F.col("f.page_id").alias("first"), F.col("f.c").alias("ties")), "repeated")
+    hint = F.broadcast if first.count() <= broadcast_rows else lambda x: x
+    p = p.join(hint(first.select("digest", "first")), "digest", "left")
     again = F.coalesce(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.lit(False))
+    ties = first.where("ties > 1").select("digest", "ties")
+    if ties.limit(1).count():
+        p = p.join(hint(ties), "digest", "left")
+        tied = p.where(F.coalesce("ties", F.lit(0)) > 1).where(F.col("page_id") == F.col("first")).drop("ties")
+        cols = ["page_id", "url", "html", "digest", "bytes", "first"]
+        p = p.where((F.coalesce("ties", F.lit(0)) <= 1) | ~F.col("page_id").eqNullSafe(F.col("first"))).withColumn("again", again).select(*cols, "again")
+        # one group by url gives counts, and the payload from any of its rows
+        g = tied.groupBy("digest", "page_id", "url", "bytes", "first").agg(F.count("*").alias("n"), F.first("html").alias("html"))
+        g = cut(g, "tied")
+        lead = g.groupBy("digest").agg(F.min("url").alias("lead"))
+        g = g.join(hint(lead), "digest").withColumn("own", F.col("url").eqNullSafe(F.col("lead")).cast("int"))
+        p = p.unionByName(g.where("own = 1").withColumn("again", F.lit(False)).select(*cols, "again"))
+        more = g.where("n > own").withColumn("k", F.explode(F.expr("sequence(1, cast(n - own as int))")))
+        p = p.unionByName(more.withColumn("html", F.lit("")).withColumn("again", F.lit(True)).select(*cols, "again"))
+        again = F.col("again")
     block = F.when(again, F.lit("")).otherwise(F.col("html"))
     url = F.regexp_replace("url", r"[\x00-\x20\x7F]", "%20")
 
@@ -71,24 +92,25 @@ def _field(head: Column, name: str) -> Column:
     return F.when(v != "", v)
 
 
-def _order():
-    return Window.partitionBy("file").orderBy("start", "seq")
-
-
 def _offsets(seg: DataFrame) -> DataFrame:
-    """Adds off, the offset of the magic before each segment; a file's first segment, which
-    has no magic, is dropped. A file's lengths meet in one task, never its payloads."""
-    before = _order().rowsBetween(Window.unboundedPreceding, -1)
-    k = F.row_number().over(_order())
-    off = F.coalesce(F.sum("len").over(before), F.lit(0)) + F.lit(len(MAGIC)) * (k - 2)
-    return seg.withColumn("k", k).withColumn("off", off.cast("long")).where("k > 1").drop("k")
+    """Adds part (the segment's place among those of one task's part of a file) and off, the offset of the magic before it;
+    a file's first segment, which has no magic, is dropped. seg(file, start, seq, len, ...) holds no payloads."""
+    w = Window.partitionBy("file", "start").orderBy("seq")
+    before = F.coalesce(F.sum("len").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    seg = seg.withColumn("part", F.row_number().over(w)).withColumn("before", before)
+    sums = seg.groupBy("file", "start").agg(F.sum("len").alias("t"), F.count("*").alias("m"))
+    up = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("file", "start", *[F.coalesce(F.sum(c).over(up), F.lit(0)).alias(f"__{c}") for c in ("t", "m")])
+    seg = seg.join(sums, ["file", "start"]).withColumn("k", F.col("__m") + F.col("part"))
+    off = F.col("__t") + F.col("before") + F.lit(len(MAGIC)) * (F.col("k") - 2)
+    return seg.withColumn("off", off.cast("long")).where("k > 1").drop("k", "before", "__t", "__m")
 
 
 def reachable(cand: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """cand(file, off, succ) -> its rows on the chain that begins at offset 0."""
-    w = Window.partitionBy("file").orderBy("off")
+    """cand(file, start, off, succ) -> its rows on the chain that begins at offset 0. Runs end with a task's part of a file."""
+    w = Window.partitionBy("file", "start").orderBy("off")
     c = cand.withColumn("run", F.sum(F.when(F.lag("succ").over(w) == F.col("off"), 0).otherwise(1)).over(w))
-    c = cut(c, "runs")
+    c = cut(c.withColumn("run", F.struct("start", "run")), "runs")
     exits = c.groupBy("file", "run").agg(F.max_by("succ", "off").alias("off"))
     hop = exits.join(c.select("file", "off", F.col("run").alias("to")), ["file", "off"]).select("file", "run", "to", F.col("off").alias("entry"))
     hop = cut(hop.where("to <> run"), "hops")
@@ -106,6 +128,11 @@ def reachable(cand: DataFrame, max_rounds: int = 64) -> DataFrame:
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """One row a true record: file, off, succ, type, page_id, refers_to, url, digest and bytes of the
     full payload. Digests of responses are computed from their blocks."""
+    return _records(spark, path)[0]
+
+
+def _records(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The records; all segments without their values; the records with their places among the segments."""
     seg = _segments(spark, path).withColumn("head", _head())
     size = F.octet_length("head") + len(END)
     seg = seg.withColumn("len", F.octet_length("value")).withColumn("body", size).withColumn("clen", _field(F.col("head"), "Content-Length").cast("long"))
@@ -124,37 +151,46 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     r = cut(reachable(c), "reachable")
     split = r.where("sha is null")
     if split.limit(1).count():
-        blocks = _join_blocks(spark, path, split).select("file", "off", F.sha2("block", 256).alias("joined"))
+        blocks = _join_blocks(spark, path, meta, split).select("file", "off", F.sha2("block", 256).alias("joined"))
         r = r.join(blocks, ["file", "off"], "left").withColumn("sha", F.coalesce("sha", "joined")).drop("joined")
     is_revisit = F.col("type") == "revisit"
     num = lambda c: F.when(F.col(c) != "", F.col(c).cast("long"))
-    return r.select("file", "off", "succ", "type", num("page_id").alias("page_id"), num("refers_to").alias("refers_to"), "url",
-                    F.when(is_revisit, F.regexp_replace("said", "^sha256:", "")).otherwise(F.col("sha")).alias("digest"),
-                    F.when(is_revisit, F.col("full")).otherwise(F.col("clen")).alias("bytes"))
-
-
-def _join_blocks(spark: SparkSession, path: str, records: DataFrame) -> DataFrame:
-    """(file, off, block) of records(file, off, succ): a block is all segments from its record to
-    the successor, with the magics between them."""
-    files = records.select("file").distinct()
-    seg = _segments(spark, path).join(files, "file", "left_semi").withColumn("len", F.octet_length("value"))
-    seg = _offsets(seg).join(records.select("file", F.col("off").alias("rec"), "off", "succ", "body", "clen"), ["file", "off"], "left")
-    up = Window.partitionBy("file").orderBy("off").rowsBetween(Window.unboundedPreceding, 0)
-    for c in ("rec", "succ", "body", "clen"):
-        seg = seg.withColumn(f"in_{c}", F.last(c, ignorenulls=True).over(up))
-    seg = seg.where("in_rec is not null and off < in_succ")
-    g = seg.groupBy("file", F.col("in_rec").alias("off")).agg(
-        F.sort_array(F.collect_list(F.struct("off", "value"))).alias("s"), F.first("in_body").alias("body"), F.first("in_clen").alias("clen"))
+    out = r.select("file", "off", "succ", "type", num("page_id").alias("page_id"), num("refers_to").alias("refers_to"), "url",
+                   F.when(is_revisit, F.regexp_replace("said", "^sha256:", "")).otherwise(F.col("sha")).alias("digest"),
+                   F.when(is_revisit, F.col("full")).otherwise(F.col("clen")).alias("bytes"))
+    return out, meta, r
+
+
+def _values(spark: SparkSession, path: str, meta: DataFrame) -> DataFrame:
+    """(file, start, part, value) of all segments: a part's segments follow one another in one task."""
+    base = F.broadcast(_segments(spark, path).drop("value").groupBy("file", "start").agg(F.min("seq").alias("__base")))  # one row a part of a file
+    return _segments(spark, path).join(base, ["file", "start"]).select("file", "start", (F.col("seq") - F.col("__base") + 1).cast("int").alias("part"), "value")
+
+
+def _join_blocks(spark: SparkSession, path: str, meta: DataFrame, records: DataFrame) -> DataFrame:
+    """(file, off, block) of records(file, off, succ, body, clen): a block is all segments from its record to
+    the successor, with the magics between them. Which segments these are follows from offsets alone; only their values are moved."""
+    at = _offsets(meta.select("file", "start", "seq", "len")).select("file", "start", "part", F.col("off").alias("place"))
+    r = records.select("file", F.col("off").alias("place"), F.struct("off", "succ", "body", "clen").alias("own"))
+    at = at.join(r, ["file", "place"], "left")
+    # the record that a segment is in began last before it, in this part of the file or an earlier one
+    upto = Window.partitionBy("file", "start").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    at = cut(at.withColumn("rec", F.last("own", ignorenulls=True).over(upto)).drop("own"), "places")
+    ends = at.groupBy("file", "start").agg(F.max_by("rec", "place").alias("end"))
+    before = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select("file", "start", F.last("end", ignorenulls=True).over(before).alias("carried"))
+    at = at.join(ends, ["file", "start"]).withColumn("rec", F.coalesce("rec", "carried"))
+    pieces = at.where("place < rec.succ").select("file", "start", "part", "place", "rec.off", "rec.body", "rec.clen")
+    g = _values(spark, path, meta).join(pieces, ["file", "start", "part"]).groupBy("file", "off").agg(
+        F.sort_array(F.collect_list(F.struct("place", "value"))).alias("s"), F.first("body").alias("body"), F.first("clen").alias("clen"))
     text = F.array_join(F.transform("s", lambda x: x["value"]), MAGIC)
     return g.withColumn("t", text).select("file", "off", F.expr("substring(cast(t as binary), cast(body as int) + 1, cast(clen as int))").alias("block"))
 
 
 def read_payloads(spark: SparkSession, path: str) -> DataFrame:
     """read_records with `block`, the record's bytes (a revisit has none)."""
-    r = read_records(spark, path)
-    seg = _segments(spark, path).withColumn("head", _head()).withColumn("body", F.octet_length("head") + len(END)).withColumn("clen", _field(F.col("head"), "Content-Length").cast("long"))
-    at = _offsets(seg.withColumn("len", F.octet_length("value"))).select("file", "off", "body", "clen")
-    return r.join(_join_blocks(spark, path, r.join(at, ["file", "off"])), ["file", "off"], "left")
+    out, meta, r = _records(spark, path)
+    return out.join(_join_blocks(spark, path, meta, r), ["file", "off"], "left")
 
 
 def op10_warc(spark, sf_dir: str) -> DataFrame:
@@ -168,7 +204,7 @@ ORACLE = """
 with p as (select page_id, coalesce(html, '') as h, sha256(coalesce(html, '')) as d, strlen(coalesce(html, '')) as n from pages),
 f as (select d, min(page_id) as first_ from p where n >= 100 group by d having count(*) > 1)
 select page_id, cast(n as bigint) as payload_bytes, d as payload_digest,
-  case when first_ is not null and page_id is distinct from first_ then 'revisit' else 'response' end as record_type,
-  case when first_ is not null and page_id is distinct from first_ then first_ end as refers_to
-from p left join f using (d)
+  case when first_ is not null and (page_id is distinct from first_ or k > 1) then 'revisit' else 'response' end as record_type,
+  case when first_ is not null and (page_id is distinct from first_ or k > 1) then first_ end as refers_to
+from (select *, row_number() over (partition by d, page_id) as k from p) left join f using (d)
 """
