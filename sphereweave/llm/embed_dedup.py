@@ -43,7 +43,7 @@ def classes_of(vectors: DataFrame, name: str = "embedding") -> DataFrame:
     return cut(cut(g, "vectors").withColumn("cid", F.monotonically_increasing_id()), "classes")
 
 
-def range_links(classes: DataFrame, threshold: float, cell: int = 4000, block: int = 2000, max_pivots: int = 1024) -> DataFrame:
+def range_links(classes: DataFrame, threshold: float, cell: int = 4000, block: int = 2000, max_pivots: int = 16_384) -> DataFrame:
     """(cid, links, root): links counts other vectors linked to cid's vector that one task saw;
     root is the smallest cid that the task connects it with."""
     spark, r = classes.sparkSession, float(np.sqrt(max(0.0, 2 - 2 * threshold)))
@@ -54,32 +54,39 @@ def range_links(classes: DataFrame, threshold: float, cell: int = 4000, block: i
     by_dim = {d: np.array([p["e"] for p in picked if len(p["e"]) == d], np.float64) for d in dims}
     by_dim = {d: p / np.linalg.norm(p, axis=1, keepdims=True) for d, p in by_dim.items()}
 
-    def unit(e) -> tuple[np.ndarray, np.ndarray]:
-        x = np.asarray(e, np.float64)
-        x = x / np.abs(x).max()  # keeps the squares of huge and tiny components finite
-        return x / np.linalg.norm(x)
-
-    def route(e: np.ndarray) -> tuple[int, list[int]]:
-        """Own cell, and the cells to visit. A length without pivots is a cell of its own."""
-        p = by_dim.get(len(e))
-        if p is None:
-            return -len(e), []
-        base = sum(len(by_dim[d]) for d in dims if d < len(e))
-        d2 = np.maximum(2 - 2 * (p @ e), 0)
-        own = int(d2.argmin())
-        dist = np.sqrt(d2)
-        between = np.linalg.norm(p - p[own], axis=1)
-        go = (dist <= dist[own] + 2 * r + EPS) & (d2 - d2[own] <= 2 * r * between + EPS)
-        return base + own, [base + int(j) for j in np.flatnonzero(go) if j > own]
+    def unit(x: np.ndarray) -> np.ndarray:
+        x = x / np.abs(x).max(1, keepdims=True)  # keeps the squares of huge and tiny components finite
+        return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+    def route(e: np.ndarray) -> list[tuple[int, list[int]]]:
+        """Own cell and the cells to visit of unit vectors of one length. A length without pivots is a cell of its own."""
+        d = e.shape[1]
+        if d not in by_dim:
+            return [(-d, [])] * len(e)
+        p, base = by_dim[d], sum(len(by_dim[x]) for x in dims if x < d)
+        d2 = np.maximum(2 - 2 * (e @ p.T), 0)
+        own = d2.argmin(1)
+        at = np.arange(len(e))
+        near = d2[at, own]
+        go = np.sqrt(d2) <= np.sqrt(near)[:, None] + 2 * r + EPS
+        go &= np.arange(len(p)) > own[:, None]
+        out: list[tuple[int, list[int]]] = [(base + int(k), []) for k in own]
+        row, cell = np.nonzero(go)
+        between = np.sqrt(np.maximum(((p[cell] - p[own[row]]) ** 2).sum(1), 0))
+        for k in np.flatnonzero(d2[row, cell] - near[row] <= 2 * r * between + EPS):
+            out[row[k]][1].append(base + int(cell[k]))
+        return out
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
-            for cid, e, m in zip(pdf["cid"], pdf["e"], pdf["n"]):
-                u = unit(e)
-                own, visits = route(u)
-                rows.append((cid, m, u.tobytes(), own, visits))
-            yield pd.DataFrame(rows, columns=["cid", "n", "v", "own", "visits"])
+            size = pdf["e"].map(len).to_numpy()
+            for d in np.unique(size):
+                for a in range(0, int((size == d).sum()), 256):  # a product of 256 vectors and all pivots at a time
+                    part = pdf[size == d].iloc[a: a + 256]
+                    u = unit(np.stack(part["e"].to_numpy()).astype(np.float64))
+                    routes = route(u)
+                    yield pd.DataFrame({"cid": part["cid"].to_numpy(), "n": part["n"].to_numpy(), "v": [x.tobytes() for x in u],
+                                        "own": [x for x, _ in routes], "visits": [x for _, x in routes]})
 
     routed = cut(classes.select("cid", "e", "n").mapInPandas(assign, "cid long, n long, v binary, own int, visits array<int>"), "routed")
     homes = dict(routed.groupBy("own").count().collect())  # at most max_pivots rows, and one a length
@@ -121,16 +128,7 @@ def range_links(classes: DataFrame, threshold: float, cell: int = 4000, block: i
             return none
         near = near[np.ix_(a, b)]
         ca, cb, na, nb_ = left["cid"].to_numpy()[a], right["cid"].to_numpy()[b], left["n"].to_numpy()[a], right["n"].to_numpy()[b]
-        la, lb = ca.copy(), cb.copy()
-        big = np.iinfo(np.int64).max
-        while True:
-            xa = np.minimum(la, np.where(near, lb[None, :], big).min(1))
-            xb = np.minimum(lb, np.where(near, xa[:, None], big).min(0))
-            if i == j:
-                xa = xb = np.minimum(xa, xb)
-            if (xa == la).all() and (xb == lb).all():
-                break
-            la, lb = xa, xb
+        la, lb = _labels(near, ca, cb, i == j)
         out = pd.DataFrame({"cid": ca, "links": near @ nb_, "root": la})
         return out if i == j else pd.concat([out, pd.DataFrame({"cid": cb, "links": na @ near, "root": lb})])
 
@@ -138,6 +136,26 @@ def range_links(classes: DataFrame, threshold: float, cell: int = 4000, block: i
     return dealt.groupBy("cell", "l", "r").applyInPandas(join, "cid long, links long, root long")
 
 
+def _labels(near: np.ndarray, ca: np.ndarray, cb: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The smallest cid that each row and each column is connected with by the links of one task. same: rows and columns are one set.
+    Every row of `near` is looked at once."""
+    if same:  # near is symmetric, and rows without a link are gone from both sides alike
+        cb = ca
+    la, lb = np.full(len(ca), -1, np.int64), np.full(len(cb), -1, np.int64)
+    for k in range(len(ca)):
+        if la[k] >= 0:
+            continue
+        rows, cols, front = np.zeros(len(ca), bool), np.zeros(len(cb), bool), np.array([k])
+        while len(front):
+            rows[front] = True
+            new = near[front].any(0) & ~cols
+            cols |= new
+            front = np.flatnonzero((near[:, new].any(1) | (new if same else False)) & ~rows)
+        label = min(int(ca[rows].min()), int(cb[cols].min()) if cols.any() else int(ca[rows].min()))
+        la[rows], lb[cols] = label, label
+    return la, (la if same else lb)
+
+
 def near_duplicates(vectors: DataFrame, threshold: float = 0.95, name: str = "embedding", **sizes) -> DataFrame:
     """Per row of vectors: vec_id, n_links, component_id, kept."""
     classes = classes_of(vectors, name)
