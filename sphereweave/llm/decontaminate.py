@@ -8,9 +8,10 @@ Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after lower-casing A-Z. A wind
 
 The probe is a byte table of hashed windows (one slot per hash): first of word pairs, so
 that most positions cost one pair hash, then of whole windows. It only ever lets too much
-through; the join on the window's text decides. Table and window list are broadcast only
-while the benchmark has at most `max_broadcast` distinct windows, a size that is counted
-first; beyond it all document windows are joined by shuffle.
+through; the join on the window's text decides. The windows of the benchmark are counted first. A table of at most `max_table` bytes
+(64 MB, for 8 million windows) goes to the tasks as a literal of the plan; more windows take more passes over the documents, each with the
+table of its share of them. The windows' texts are broadcast while there are at most `max_broadcast` (200,000, some 20 MB); beyond that the
+survivors of the probe, not all document windows, meet them by shuffle.
 
 Edge cases: null text has no words and no hits; null item text has none; a null item_id
 still marks words as hit but is not listed; repeated rows give repeated rows; with an
@@ -44,10 +45,15 @@ def benchmark_windows(benchmark: DataFrame, window: int) -> DataFrame:
                                 F.first("pair").alias("pair"), F.collect_set("item").alias("items"))
 
 
-def _slots(values: list[int], bits: int) -> bytes:
+def _slots(values: DataFrame, n: int, max_table: int) -> bytes:
+    """A table with a 1 in the slot of each hash of values(h): 8 to 16 slots a hash while that is at most max_table bytes."""
+    bits = min(max(12, (8 * n).bit_length()), max_table.bit_length() - 1)
+    slots = values.select(F.col("h").bitwiseAND(F.lit((1 << bits) - 1)).alias("s")).distinct()
     out = bytearray(1 << bits)
-    for v in values:
-        out[v & ((1 << bits) - 1)] = 1
+    # a task's share at a time reaches the driver
+    for r in slots.groupBy(F.pmod("s", F.lit(max(1, n // 10_000))).alias("k")).agg(F.collect_list("s").alias("s")).toLocalIterator():
+        for v in r["s"]:
+            out[v] = 1
     return bytes(out)
 
 
@@ -57,55 +63,52 @@ def _in(slots: bytes, h: Column) -> Column:
     return F.substring(F.lit(slots), at, F.lit(1)) == F.lit(b"\x01")
 
 
-def _candidates(found: list, window: int) -> Column:
-    """Array of (i, len): positions of the word array `w` whose window may be one."""
-    bits = max(12, (16 * len(found)).bit_length())
+def _candidates(wins: DataFrame, sizes: dict[int, int], max_table: int) -> Column:
+    """Array of (i, len): positions of the word array `w` whose window may be one of wins."""
     parts = []
-    for n in sorted({r["len"] for r in found}):
-        rows = [r for r in found if r["len"] == n]
-        whole, pairs = _slots([r["h"] for r in rows], bits), _slots([r["pair"] for r in rows if n > 1], bits)
-        parts.append(_places(n, _test(n, whole, pairs)))
+    for n, count in sorted(sizes.items()):
+        own = wins.where(F.col("len") == n)
+        whole = _slots(own.select("h"), count, max_table)
+        pairs = _slots(own.select(F.col("pair").alias("h")), count, max_table) if n > 1 else b""
+        parts.append(_places(n, whole, pairs))
     if not parts:
         return F.array().cast("array<struct<i:int,len:int>>")
     return parts[0] if len(parts) == 1 else F.concat(*parts)
 
 
-def _test(n: int, whole: bytes, pairs: bytes):
+def _places(n: int, whole: bytes, pairs: bytes) -> Column:
+    """Structs (i, n) of the places i where n words begin that may be a window."""
     def test(i: Column) -> Column:
         t = _in(whole, F.xxhash64(F.slice("w", i, n)))
         return t if n < 2 else _in(pairs, F.xxhash64(F.get("w", i - 1), F.get("w", i))) & t
 
-    return test
-
-
-def _places(n: int, test=None) -> Column:
-    """Structs (i, n) of the places i where n words begin, those that pass the test."""
     at = F.when(F.size("w") >= n, F.sequence(F.lit(1), F.size("w") - (n - 1))).otherwise(F.array().cast("array<int>"))
-    return F.transform(at if test is None else F.filter(at, test), lambda i: F.struct(i.alias("i"), F.lit(n).alias("len")))
+    return F.transform(F.filter(at, test), lambda i: F.struct(i.alias("i"), F.lit(n).alias("len")))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_broadcast: int = 200_000) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_broadcast: int = 200_000, max_table: int = 1 << 26) -> DataFrame:
     """Per row of docs: doc_id, text_key, n_words, n_hit, items (sorted), spans (word
     ranges [start, end) that are hit, merged), contaminated."""
     wins = cut(benchmark_windows(benchmark, window), "windows")
-    few = wins.select("h", "pair", "len").limit(max_broadcast + 1).collect()
-    small = len(few) <= max_broadcast
+    sizes = dict(wins.groupBy("len").count().collect())  # at most `window` rows
+    total = sum(sizes.values())
+    small = total <= max_broadcast
     d = docs.select("doc_id", "text").select(
         "doc_id", F.xxhash64("text").alias("text_key"), words_of(F.col("text")).alias("w"))
-    if small:
-        cand = _candidates(few, window)
-    else:
-        lens = sorted(r[0] for r in wins.select("len").distinct().collect())  # at most `window`
-        cand = F.concat(*map(_places, lens))
-    d = d.withColumn("c", cand)
-    d = d.select("doc_id", "text_key", F.size("w").alias("n_words"), F.posexplode_outer(
-        F.transform("c", lambda c: F.struct(c["i"].alias("i"), c["len"].alias("len"),
-                                            F.array_join(F.slice("w", c["i"], c["len"]), " ").alias("win")))))
-    d = d.select("doc_id", "text_key", "n_words",
-                 F.when(F.coalesce(F.col("pos"), F.lit(0)) == 0, 1).otherwise(0).alias("row"),
-                 F.col("col.i").alias("i"), F.col("col.len").alias("len"),
-                 # rows without a candidate must not share one null key
-                 F.coalesce("col.win", F.concat(F.lit("\x00"), F.col("text_key").cast("string"))).alias("win"))
+    passes, found = max(1, -(-8 * total // max_table)), None
+    for k in range(passes):
+        own = wins.where(F.pmod("h", F.lit(passes)) == k) if passes > 1 else wins
+        size = dict(own.groupBy("len").count().collect()) if passes > 1 else sizes
+        e = d.withColumn("c", _candidates(own, size, max_table)).select("doc_id", "text_key", F.size("w").alias("n_words"), F.posexplode_outer(
+            F.transform("c", lambda c: F.struct(c["i"].alias("i"), c["len"].alias("len"), F.array_join(F.slice("w", c["i"], c["len"]), " ").alias("win")))))
+        e = e.select("doc_id", "text_key", "n_words",
+                     # each row of docs counts once, in the first pass
+                     F.when((F.coalesce(F.col("pos"), F.lit(0)) == 0) & F.lit(k == 0), 1).otherwise(0).alias("row"),
+                     F.col("col.i").alias("i"), F.col("col.len").alias("len"),
+                     # rows without a candidate must not share one null key
+                     F.coalesce("col.win", F.concat(F.lit("\x00"), F.col("text_key").cast("string"))).alias("win"))
+        found = e if found is None else found.union(e)
+    d = found
     right = wins.select("win", "items", F.lit(True).alias("hit"))
     d = d.join(F.broadcast(right) if small else right, "win", "left")
     # text_key is part of the group, so equal ids of different texts stay apart; `row` counts repeats
@@ -130,12 +133,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_b
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, action: str = "documents", window: int = 10,
-                  max_broadcast: int = 200_000) -> DataFrame:
+                  max_broadcast: int = 200_000, max_table: int = 1 << 26) -> DataFrame:
     """docs with its own columns. action 'documents' drops hit rows; 'spans' cuts the hit
     words out of the text (the remaining text keeps its own characters)."""
     if action not in ("documents", "spans"):
         raise ValueError("action must be 'documents' or 'spans'")
-    found = contamination(docs, benchmark, window, max_broadcast).where("contaminated").select(
+    found = contamination(docs, benchmark, window, max_broadcast, max_table).where("contaminated").select(
         F.col("doc_id").alias("__d_id"), F.col("text_key").alias("__d_key"), F.col("spans").alias("__d_spans")
     ).dropDuplicates(["__d_id", "__d_key"])
     # the hit documents go to the texts while their counted number is small, else both are shuffled
