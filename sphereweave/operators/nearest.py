@@ -1,61 +1,120 @@
 """Nearest-point joins with a guarantee.
 
-Candidates come from a target's voxel and its 26 neighbours; a k-th distance of at most the voxel
-size is conclusive, the other targets go on with voxels four times as large. Voxels of size 2 hold the
-whole sphere, so the rounds end there. Ties go to the smaller pid.
+Clouds: a pyramid of cells, each with the number of its points and their bounding box, is built from the source once. Every target
+goes down from the root. At each level its candidate cells are joined with their children, whose boxes give the least and
+the greatest distance of any of their points; cells that begin beyond the distance within which k points are certain go. Only
+the finest cells' points are compared one by one. So a target far from a regional cloud looks at that cloud's nearest edge alone.
+Ties go to the smaller pid. Regular grids: index arithmetic.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from .radius import Axis, radius_join, with_xyz
+from ..work import cut
+from .radius import Axis, half_width, radius_join, with_xyz
 
+#: Points in a finest cell, on average; a cell of depth d has the size ROOT / 4**d.
+LEAF, ROOT, DEEPEST = 24, 4.0, 14
+V = ("vx", "vy", "vz")
 
-def knn(source: DataFrame, target: DataFrame, k: int = 1, points: int | None = None) -> DataFrame:
+
+def _cells(depth: int) -> dict:
+    h = F.lit(ROOT / 4 ** depth)  # a power of two: the same cell on either side of a join
+    return {f"v{a}": F.floor((F.col(a) + 2.0) / h).cast("int") for a in "xyz"}
+
+
+def _depth(s: DataFrame, n: int) -> int:
+    """The least depth at which occupied cells hold about LEAF points, by an approximate count of cells at all depths in question."""
+    guess = max(1, math.ceil(math.log(ROOT / math.sqrt(4 * math.pi * LEAF / n), 4))) if n > LEAF else 1
+    depths = list(range(max(1, guess - 1), min(DEEPEST, guess + 4) + 1))
+    seen = s.agg(*[F.approx_count_distinct(F.xxhash64(*_cells(d).values())).alias(f"d{d}") for d in depths]).first()
+    return next((d for d in depths if n <= LEAF * seen[f"d{d}"]), depths[-1])
+
+
+def pyramid(s: DataFrame, n: int) -> list[DataFrame]:
+    """Tables of cells, the finest last: vx, vy, vz, their parent's px, py, pz, n and the box of their points."""
+    box = [f(f"{m}{a}").alias(f"{m}{a}") for a in "xyz" for m, f in (("lo", F.min), ("hi", F.max))]
+    first = s.withColumns(_cells(depth := _depth(s, n))).groupBy(*V).agg(F.count("*").alias("n"), *[f(a).alias(f"{m}{a}") for a in "xyz" for m, f in (("lo", F.min), ("hi", F.max))])
+    parents = {f"p{a}": F.floor(F.col(f"v{a}") / 4).cast("int") for a in "xyz"}
+    out = [cut(first.withColumns(parents), "cells")]
+    for _ in range(depth - 1):
+        up = out[0].groupBy("px", "py", "pz").agg(F.sum("n").alias("n"), *box)
+        out.insert(0, cut(up.withColumnsRenamed({f"p{a}": f"v{a}" for a in "xyz"}).withColumns(parents), "cells"))
+    return out
+
+
+def knn(source: DataFrame, target: DataFrame, k: int = 1, points: int | None = None, pad: bool = False) -> DataFrame:
     """source(pid, lon, lat, ...) x target(tid, lon, lat) -> tid, rank (from 1), dist (chord) and source's
-    columns without lon, lat. Fewer than k sources give fewer rows."""
+    columns without lon, lat. Fewer than k sources give fewer rows, or, with pad, rows of nulls."""
     keep = [c for c in source.columns if c not in ("lon", "lat")]
     s = with_xyz(source)
     n = points if points is not None else source.count()
     t = with_xyz(target.select("tid", "lon", "lat"), "t_").drop("lon", "lat")
-    size = min(2.0, 2.0 ** math.ceil(math.log2(math.sqrt(4 * math.pi * max(k, 1) / max(n, 1)))))
-    done: list[DataFrame] = []
-    left = t
-    while True:
-        h = F.lit(size)
-        cells = lambda p: {f"v{a}": F.floor(F.col(f"{p}{a}") / h).cast("int") for a in "xyz"}
-        near = left.withColumns(cells("t_"))
-        for a in "xyz":
-            near = near.withColumn(f"v{a}", F.explode(F.sequence(F.col(f"v{a}") - 1, F.col(f"v{a}") + 1)))
-        j = s.withColumns(cells("")).join(near, ["vx", "vy", "vz"])
-        j = j.withColumn("dist", G.chord(*[F.col(c) for c in ("x", "y", "z", "t_x", "t_y", "t_z")])).select("tid", "dist", *keep)
+    xyz = [f"t_{a}" for a in "xyz"]
+    tables = pyramid(s, max(1, n))
+    own = Window.partitionBy("tid")
+    c = t.withColumns({f"v{a}": F.lit(0) for a in "xyz"})
+    for cells in tables:
+        near = sum(((lambda d: d * d)(F.greatest(F.col(f"lo{a}") - F.col(f"t_{a}"), F.lit(0.0), F.col(f"t_{a}") - F.col(f"hi{a}"))) for a in "xyz"), F.lit(0.0))
+        far = sum(((lambda d: d * d)(F.greatest(F.col(f"hi{a}") - F.col(f"t_{a}"), F.col(f"t_{a}") - F.col(f"lo{a}"))) for a in "xyz"), F.lit(0.0))
+        c = c.withColumnsRenamed({f"v{a}": f"p{a}" for a in "xyz"}).join(cells, ["px", "py", "pz"])
+        c = c.select("tid", *xyz, *V, "n", near.alias("near"), far.alias("far"))
         if k == 1:
-            rest = [c for c in keep if c != "pid"]
-            best = j.groupBy("tid").agg(F.min(F.struct("dist", "pid", *rest)).alias("b")).select("tid", F.lit(1).alias("rank"), "b.dist", *[F.col(f"b.{c}").alias(c) for c in keep])
-            best = best.withColumn("far", F.col("dist"))
+            c = c.withColumn("sure", F.min("far").over(own))
         else:
-            w = Window.partitionBy("tid")
-            best = j.withColumn("rank", F.row_number().over(w.orderBy("dist", "pid"))).where(F.col("rank") <= k)
-            best = best.withColumn("far", F.when(F.count("*").over(w) >= k, F.max("dist").over(w)))
-        if size >= 2.0:
-            done.append(best.drop("far"))
-            break
-        best = best.where(F.col("far") <= size).persist(StorageLevel.MEMORY_AND_DISK)
-        done.append(best.drop("far"))
-        left = left.join(best.select("tid").distinct(), "tid", "left_anti").persist(StorageLevel.MEMORY_AND_DISK)
-        if not left.limit(1).count():
-            break
-        size = min(2.0, size * 4)
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out.select("tid", "rank", "dist", *keep)
+            c = c.withColumn("upto", F.sum("n").over(own.orderBy("far", *V).rowsBetween(Window.unboundedPreceding, 0)))
+            c = c.withColumn("sure", F.min(F.when(F.col("upto") >= k, F.col("far"))).over(own))
+        c = c.where(F.col("sure").isNull() | (F.col("near") <= F.col("sure") + 1e-12)).select("tid", *xyz, *V)
+    j = s.withColumns(_cells(len(tables))).join(c, list(V))
+    j = j.withColumn("dist", G.chord(*[F.col(x) for x in ("x", "y", "z", "t_x", "t_y", "t_z")])).select("tid", "dist", *keep)
+    if k == 1:
+        rest = [x for x in keep if x != "pid"]
+        out = j.groupBy("tid").agg(F.min(F.struct("dist", "pid", *rest)).alias("b")).select("tid", F.lit(1).alias("rank"), "b.dist", *[F.col(f"b.{x}").alias(x) for x in keep])
+    else:
+        out = j.withColumn("rank", F.row_number().over(own.orderBy("dist", "pid"))).where(F.col("rank") <= k).select("tid", "rank", "dist", *keep)
+    return target.select("tid", F.explode(F.sequence(F.lit(1), F.lit(k))).alias("rank")).join(out, ["tid", "rank"], "left") if pad else out
+
+
+def grid_knn(target: DataFrame, lat: Axis, lon: Axis, k: int) -> DataFrame:
+    """target(tid, lon, lat) -> tid, rank, pid, dist (degrees) of the k nearest points of a regular grid that goes round the
+    sphere, by arithmetic alone; ties (to 1e-9 degrees) go to the smaller pid. k points of the nearest row bound the distance;
+    the candidates are the points within it, row by row."""
+    step = lambda a: a.step or 360.0
+    t = target.select("tid", F.col("lon").alias("t_lon"), F.col("lat").alias("t_lat"))
+    row = F.greatest(F.lit(0), F.least(F.lit(lat.n - 1), F.round((F.col("t_lat") - lat.first) / step(lat)).cast("int")))
+    side = -(-k // 2) * step(lon)  # so far to either side there are k columns, if the row has so many
+    reach = G.haversine_degrees(F.col("t_lon"), F.col("t_lat"), F.col("t_lon") + side, F.lit(lat.first) + row * step(lat)) if k <= lon.n and side <= 180 else F.lit(180.0)
+    t = t.withColumn("r", reach + 1e-6)
+    lo = F.greatest(F.lit(0), F.ceil((F.col("t_lat") - F.col("r") - lat.first) / step(lat)).cast("int"))
+    hi = F.least(F.lit(lat.n - 1), F.floor((F.col("t_lat") + F.col("r") - lat.first) / step(lat)).cast("int"))
+    t = t.withColumn("ilat", F.explode(F.sequence(lo, hi)))
+    g_lat = F.lit(lat.first) + F.col("ilat") * step(lat)
+    t = t.withColumn("half", half_width(F.col("t_lat"), F.col("r"), g_lat, g_lat))
+    west = F.floor((F.col("t_lon") - F.col("half") - lon.first) / step(lon)).cast("long")
+    east = F.ceil((F.col("t_lon") + F.col("half") - lon.first) / step(lon)).cast("long")
+    t = t.withColumn("ilon", F.explode(F.when(east - west + 1 >= lon.n, F.sequence(F.lit(0).cast("long"), F.lit(lon.n - 1).cast("long"))).otherwise(
+        F.transform(F.sequence(west, east), lambda i: F.pmod(i, F.lit(lon.n).cast("long"))))))
+    d = G.haversine_degrees(F.col("t_lon"), F.col("t_lat"), F.lit(lon.first) + F.col("ilon") * step(lon), g_lat)
+    t = t.select("tid", (F.col("ilat") * lon.n + F.col("ilon")).cast("long").alias("pid"), F.round(d, 9).alias("dist"))
+    best = t.withColumn("rank", F.row_number().over(Window.partitionBy("tid").orderBy("dist", "pid"))).where(F.col("rank") <= k)
+    return best.select("tid", "rank", "pid", "dist")
+
+
+def linear_nearest(source: DataFrame, target: DataFrame, max_source: int = 100_000) -> DataFrame:
+    """tid, pid, dist (chord) of the nearest point by comparing each target with every point of a source that is counted and
+    broadcast: the plain way, for tiny sources and for tests. Larger sources are refused; knn() takes them."""
+    n = source.count()
+    if n > max_source:
+        raise ValueError(f"{n} points; use knn() beyond {max_source}")
+    s = with_xyz(source.select("pid", "lon", "lat")).agg(F.collect_list(F.struct("pid", "x", "y", "z")).alias("all"))
+    t = with_xyz(target.select("tid", "lon", "lat"), "t_").join(F.broadcast(s))
+    d = F.transform("all", lambda p: F.struct(G.chord(p["x"], p["y"], p["z"], F.col("t_x"), F.col("t_y"), F.col("t_z")).alias("dist"), p["pid"].alias("pid")))
+    return t.select("tid", F.array_min(d).alias("b")).select("tid", "b.pid", "b.dist")
 
 
 def grid_nearest(target: DataFrame, lat: Axis, lon: Axis) -> DataFrame:

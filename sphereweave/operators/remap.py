@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from . import quadrature
+from ..work import cut
 from .nearest import grid_nearest, knn
-from .radius import Axis, grid_radius_join, radius_join
+from .radius import Axis, Grid, grid_radius_join, radius_join, uneven_radius_join
 
 
 def squared_fields(cloud: DataFrame, names: Sequence[str], fields: Sequence[str]) -> DataFrame:
@@ -32,10 +32,10 @@ def _means(matches: DataFrame, fields: Sequence[str]) -> DataFrame:
     return matches.groupBy("tid").agg(F.count("*").alias("n_matches"), *[F.avg(f).alias(f) for f in fields])
 
 
-def disk_average(cloud: DataFrame, target: DataFrame, fields: Sequence[str], alpha: float = 1.0, grid: tuple[Axis, Axis] | None = None, compat: bool = False) -> DataFrame:
+def disk_average(cloud: DataFrame, target: DataFrame, fields: Sequence[str], alpha: float = 1.0, grid: Grid | tuple[Axis, Axis] | None = None, compat: bool = False) -> DataFrame:
     """cloud(pid, lon, lat, fields) x target(tid, lon, lat, area or radius) -> tid, n_matches, fields.
 
-    The mean of all points in the disk of each target's area; the nearest point's values where the disk is
+    grid: the axes of a structured cloud, whose pid is ilat * nlon + ilon. The mean of all points in the disk of each target's area; the nearest point's values where the disk is
     empty or its radius is not positive or NaN (n_matches 0). One join serves all fields. An empty cloud raises."""
     _check(cloud, fields)
     if "radius" not in target.columns:
@@ -45,10 +45,12 @@ def disk_average(cloud: DataFrame, target: DataFrame, fields: Sequence[str], alp
     if grid is None:
         matches = radius_join(cloud.select(*cols), target)
     else:
-        lat, lon = grid
-        c = cloud.select(*cols, *[k.alias(n) for k, n in zip(G.grid_indices(F.col("pid"), lon.n), ("ilat", "ilon"))])
-        matches = grid_radius_join(c, target, lat, lon, compat)
-    both = target.join(_means(matches, fields), "tid", "left").persist(StorageLevel.MEMORY_AND_DISK)
+        g = Grid.plain(grid)
+        c = cloud.select(*cols, *[k.alias(n) for k, n in zip(G.grid_indices(F.col("pid"), g.nlon), ("ilat", "ilon"))])
+        if not g.even and compat:
+            raise ValueError("compat needs evenly spaced axes")
+        matches = grid_radius_join(c, target, g.lat, g.lon, compat) if g.even else uneven_radius_join(c, target)
+    both = cut(target.join(_means(matches, fields), "tid", "left"), "means")
     found = both.where("n_matches is not null").select("tid", "n_matches", *fields)
     empty = both.where("n_matches is null").select("tid", "lon", "lat")
     if not empty.limit(1).count():
@@ -56,11 +58,11 @@ def disk_average(cloud: DataFrame, target: DataFrame, fields: Sequence[str], alp
     return found.unionByName(nearest(cloud, empty, fields, grid).select("tid", F.lit(0).cast("long").alias("n_matches"), *fields))
 
 
-def nearest(cloud: DataFrame, target: DataFrame, fields: Sequence[str], grid: tuple[Axis, Axis] | None = None) -> DataFrame:
+def nearest(cloud: DataFrame, target: DataFrame, fields: Sequence[str], grid: Grid | tuple[Axis, Axis] | None = None) -> DataFrame:
     """tid and the nearest point's fields."""
     _check(cloud, fields)
-    if grid is not None:
-        at = grid_nearest(target, *grid)
+    if grid is not None and (g := Grid.plain(grid)).global_:
+        at = grid_nearest(target, g.lat, g.lon)
         return at.join(cloud.select("pid", *fields), "pid").select("tid", *fields)
     n = cloud.count()
     if not n:
@@ -68,7 +70,7 @@ def nearest(cloud: DataFrame, target: DataFrame, fields: Sequence[str], grid: tu
     return knn(cloud.select("pid", "lon", "lat", *fields), target, 1, n).select("tid", *fields)
 
 
-def self_smooth(cloud: DataFrame, area: float, fields: Sequence[str], grid: tuple[Axis, Axis] | None = None) -> DataFrame:
+def self_smooth(cloud: DataFrame, area: float, fields: Sequence[str], grid: Grid | tuple[Axis, Axis] | None = None) -> DataFrame:
     """Every point's fields replaced by the mean over the disk of the given area around it."""
     if area < 1e-12:
         raise ValueError("self-smoothing needs an area of at least 1e-12")
@@ -76,7 +78,8 @@ def self_smooth(cloud: DataFrame, area: float, fields: Sequence[str], grid: tupl
     return disk_average(cloud, target, fields, grid=grid).withColumnRenamed("tid", "pid")
 
 
-def spectral_average(cloud: DataFrame, mesh: DataFrame, fields: Sequence[str], gll_radius: str = "jacobian", bubble: bool = False) -> DataFrame:
+def spectral_average(cloud: DataFrame, mesh: DataFrame, fields: Sequence[str], gll_radius: str = "jacobian", bubble: bool = False,
+                     grid: Grid | tuple[Axis, Axis] | None = None) -> DataFrame:
     """mesh(eid, nodes) -> eid, fields: disk means at the 4 x 4 Gauss-Lobatto nodes of every quad, weighted
     by w_i * w_j. A node's disk has its Jacobian as radius ('jacobian'), or sqrt(jac / pi) ('sqrt_area')."""
     if gll_radius not in ("jacobian", "sqrt_area"):
@@ -85,8 +88,10 @@ def spectral_average(cloud: DataFrame, mesh: DataFrame, fields: Sequence[str], g
     lon, lat = G.xyz_to_lonlat(F.col("x"), F.col("y"), F.col("z"))
     radius = F.col("jac") if gll_radius == "jacobian" else G.area_radius(F.col("jac"))
     n = quadrature.NP ** 2
+    # the nodes are written once: the joins look at them several times
     t = q.select((F.col("eid") * n + F.col("node")).alias("tid"), lon.alias("lon"), lat.alias("lat"), radius.alias("radius"), "w")
-    v = disk_average(cloud, t, fields).join(t.select("tid", "w"), "tid")
+    t = cut(t, "nodes")
+    v = disk_average(cloud, t, fields, grid=grid).join(t.select("tid", "w"), "tid")
     eid = F.floor(F.col("tid") / n).cast("long").alias("eid")
     return v.groupBy(eid).agg(*[(F.sum(F.col("w") * F.col(f)) / F.sum("w")).alias(f) for f in fields])
 
