@@ -8,11 +8,12 @@ import time
 from pathlib import Path
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
 from .operators import remap as R
-from .sources.ncgrid import load_cloud, load_target
+from .operators.quadrature import is_spectral
+from .sources.ncgrid import has_variable, load_source, load_target
 from .sources.sinks import write_netcdf, write_parquet
+from .work import cut
 
 log = logging.getLogger("sphereweave")
 
@@ -44,35 +45,36 @@ def run(spark: SparkSession, argv: list[str]):
     if a.reuse_source_mesh and method == "nn":
         raise ValueError("nearest on the source itself is the identity")
     began = time.time()
-    cloud = load_cloud(spark, a.source, names(a.fields), "" if a.target else a.lon_var, "" if a.target else a.lat_var)
+    # the coordinates' names hold for both sides, where a side's file has them
+    own = {o: v if v and has_variable(a.source, v) else "" for o, v in (("lon_var", a.lon_var), ("lat_var", a.lat_var))}
+    if a.reuse_source_mesh and [own["lon_var"], own["lat_var"]] != [a.lon_var, a.lat_var]:
+        raise ValueError(f"the source has no variables {a.lon_var!r}, {a.lat_var!r}")
+    source = load_source(spark, a.source, names(a.fields), own["lon_var"], own["lat_var"])
+    cloud, grid = source.cloud, source.grid
     fields = [c for c in cloud.columns if c not in ("pid", "lon", "lat")]
     squares = names(a.square_fields)
     cloud = R.squared_fields(cloud, squares, fields)
     out_fields = fields + [f"{s}_squared" for s in squares]
     if not a.output:
-        log.info("%d points, fields %s", cloud.count(), fields)
+        log.info("%d points, %s, fields %s", source.n, source.kind, fields)
         return cloud
     if a.reuse_source_mesh:
-        result, key = R.self_smooth(cloud, a.smoothing_area, out_fields), "pid"
+        result, key = R.self_smooth(cloud, a.smoothing_area, out_fields, grid), "pid"
     elif a.spectral:
         mesh = spark.read.parquet(a.target)
-        if method == "nn":
-            from .functions.geometry import xyz_to_lonlat
-            from .operators.quadrature import element_centroid
-            c = element_centroid(mesh)
-            lon, lat = xyz_to_lonlat(F.col("x"), F.col("y"), F.col("z"))
-            result, key = R.nearest(cloud, c.select(F.col("eid").alias("tid"), lon.alias("lon"), lat.alias("lat")), out_fields), "tid"
-        else:
-            result, key = R.spectral_average(cloud, mesh, out_fields), "eid"
+        result, key = (R.spectral_average(cloud, mesh, out_fields, grid=grid) if method == "da" and is_spectral(mesh) else R.element_average(cloud, mesh, out_fields, method, a.alpha, grid)), "eid"
     else:
         target = load_target(spark, a.target, a.lon_var or "lon", a.lat_var or "lat", a.area_var, a.dof_var)
-        result, key = R.remap(cloud, target, out_fields, method, **({"alpha": a.alpha} if method == "da" else {})), "tid"
-    R.validate(result, out_fields)
+        result, key = R.remap(cloud, target, out_fields, method, grid=grid, **({"alpha": a.alpha} if method == "da" else {})), "tid"
+    result = R.validate(cut(result, "result"), out_fields)
     template = a.source if a.reuse_source_mesh else a.target
     if Path(a.output).suffix == ".nc" and Path(template).suffix == ".nc":
-        write_netcdf(result, template, a.output, out_fields, key, a.dof_var)
+        write_netcdf(result, template, a.output, out_fields, key, source.dims if a.reuse_source_mesh else a.dof_var)
     else:
         write_parquet(result, a.output)
+    if a.verbose:
+        for row in R.sample_values(result, key, out_fields).collect():
+            log.info("%s", row.asDict())
     log.info("done in %.1f s", time.time() - began)
     return result
 

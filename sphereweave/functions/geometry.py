@@ -61,6 +61,20 @@ def haversine_degrees(lon1: Column, lat1: Column, lon2: Column, lat2: Column) ->
     return F.degrees(2.0 * F.atan2(F.sqrt(a), F.sqrt(1.0 - a)))
 
 
+def lonlat_chord(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
+    return chord(*lonlat_to_xyz(lon1, lat1), *lonlat_to_xyz(lon2, lat2))
+
+
+METRICS = {"haversine": haversine_degrees, "cartesian": lonlat_chord}
+
+
+def distance(metric: str, lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
+    """By the metric's name: degrees of the great circle, or the chord."""
+    if metric not in METRICS:
+        raise ValueError(f"the metric is one of {sorted(METRICS)}")
+    return METRICS[metric](lon1, lat1, lon2, lat2)
+
+
 def great_circle(x1: Column, y1: Column, z1: Column, x2: Column, y2: Column, z2: Column, radius: float = 1.0) -> Column:
     dot = x1 * x2 + y1 * y2 + z1 * z2
     return F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot))) * radius

@@ -96,6 +96,18 @@ def spectral_average(cloud: DataFrame, mesh: DataFrame, fields: Sequence[str], g
     return v.groupBy(eid).agg(*[(F.sum(F.col("w") * F.col(f)) / F.sum("w")).alias(f) for f in fields])
 
 
+def element_average(cloud: DataFrame, mesh: DataFrame, fields: Sequence[str], method: str = "da", alpha: float = 1.0, grid: Grid | tuple[Axis, Axis] | None = None) -> DataFrame:
+    """mesh(eid, nodes, area for the disk means) -> eid, fields at the elements' centroids, for meshes that are not all quads and for the nearest points."""
+    c = quadrature.element_centroid(mesh)
+    lon, lat = G.xyz_to_lonlat(F.col("x"), F.col("y"), F.col("z"))
+    t = c.select(F.col("eid").alias("tid"), lon.alias("lon"), lat.alias("lat"))
+    if method == "da":
+        if "area" not in mesh.columns:
+            raise ValueError("a mesh that is not all quads needs an area for each element")
+        t = t.join(mesh.select(F.col("eid").alias("tid"), F.col("area").cast("double").alias("area")), "tid")
+    return remap(cloud, t, fields, method, grid=grid, **({"alpha": alpha} if method == "da" else {})).withColumnRenamed("tid", "eid")
+
+
 METHODS: dict[str, Callable] = {}
 ALIASES = {"DA": "da", "ALG_DISKAVERAGE": "da", "DISKAVERAGE": "da", "NN": "nn", "NEAREST_NEIGHBOR": "nn", "ALG_NEAREST_NEIGHBOR": "nn"}
 
@@ -147,6 +159,26 @@ def field_stats(result: DataFrame, fields: Sequence[str]) -> DataFrame:
     return s.select(F.explode(F.array(*[F.struct(F.lit(f).alias("field"), *[F.col(f"{n}_{k}").alias(n) for n in ("min", "max", "mean", "count")]) for k, f in enumerate(fields)])).alias("s")).select("s.*")
 
 
+def sample_values(result: DataFrame, key: str, fields: Sequence[str], n: int = 5) -> DataFrame:
+    """The first n results by key."""
+    return result.select(key, *fields).orderBy(key).limit(n)
+
+
+def fill_empty(result: DataFrame, target: DataFrame, fields: Sequence[str], value: float = 0.0) -> DataFrame:
+    """One row for each target; those without a result, and null fields, hold the value."""
+    return target.select("tid").join(result, "tid", "left").withColumns({f: F.coalesce(F.col(f), F.lit(value)) for f in fields})
+
+
+def bounding_box(points: DataFrame) -> DataFrame:
+    """(lon_lo, lon_hi, lat_lo, lat_hi) of all points; nulls for none."""
+    return points.agg(*[f(c).alias(f"{c}_{n}") for c in ("lon", "lat") for n, f in (("lo", F.min), ("hi", F.max))])
+
+
+def in_box(points: DataFrame, box: dict[str, float], margin: float = 0.0) -> DataFrame:
+    """The points inside the box, widened by margin degrees, its edges included."""
+    return points.where(F.col("lon").between(box["lon_lo"] - margin, box["lon_hi"] + margin) & F.col("lat").between(box["lat_lo"] - margin, box["lat_hi"] + margin))
+
+
 def subgrid_variance(result: DataFrame, field: str) -> DataFrame:
     """Adds <field>_variance = mean of squares less the square of the mean, where both were remapped."""
     return result.withColumn(f"{field}_variance", F.col(f"{field}_squared") - F.col(field) * F.col(field))

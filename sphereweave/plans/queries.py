@@ -7,6 +7,8 @@ regular grid. Field values are whole numbers, so means are the same double in an
 from __future__ import annotations
 
 import math
+import os
+from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,8 +17,10 @@ from ..functions import geometry as G
 from ..operators import axes as A
 from ..operators import quadrature as Q
 from ..operators import remap as R
-from ..operators.nearest import knn, radius_knn
-from ..operators.radius import Axis, grid_radius_join, radius_join
+from ..operators.nearest import grid_knn, knn, linear_nearest, radius_knn
+from ..operators.radius import Axis, Grid, grid_radius_join, radius_join
+from ..sources import ncgrid, sinks
+from ..work import shared_path
 
 GOLD, GOLD2 = 137.50776405003785, 222.49223594996215
 
@@ -308,6 +312,127 @@ def error_count(spark, sf):
     return R.error_count(c, ["v", "one"])
 
 
+def knn_grid_k5(spark, sf):
+    _, lat, lon = _grid(spark, sf, True)
+    return grid_knn(_points(spark, sf, "part", "target"), lat, lon, 5).select("tid", F.col("rank").cast("long").alias("rank"), "pid")
+
+
+def _uneven(spark: SparkSession, sf: str) -> tuple[DataFrame, Grid]:
+    """The grid with rows of equal area, whose latitudes are not evenly spaced."""
+    g, lat, lon = _grid(spark, sf, False)
+    g = g.withColumn("lat", F.degrees(F.asin((F.col("ilat") + 0.5) * 2.0 / lat.n - 1.0)))
+    return g, Grid.of([math.degrees(math.asin((k + 0.5) * 2.0 / lat.n - 1.0)) for k in range(lat.n)], [lon.first + k * lon.step for k in range(lon.n)])
+
+
+def grid_uneven(spark, sf):
+    g, axes = _uneven(spark, sf)
+    return R.disk_average(g, _points(spark, sf, "part", "target"), ["v"], grid=axes)
+
+
+def spectral_grid(spark, sf):
+    g, lat, lon = _grid(spark, sf, True)
+    return R.spectral_average(g, _mesh(spark), ["v"], grid=(lat, lon)).select("eid", F.round("v", 1).alias("v"))
+
+
+def element_nearest(spark, sf):
+    return R.element_average(_points(spark, sf, "orders", "cloud"), _mesh(spark), ["v"], "nn")
+
+
+def brute_force_nearest(spark, sf):
+    return linear_nearest(_points(spark, sf, "customer", "cloud"), _points(spark, sf, "supplier", "target")).select("tid", "pid")
+
+
+def bounding_box(spark, sf):
+    return R.bounding_box(_points(spark, sf, "customer", "cloud")).select(*[F.round(c, 9).alias(c) for c in ("lon_lo", "lon_hi", "lat_lo", "lat_hi")])
+
+
+def metric_distance(spark, sf):
+    at = [F.col("lon"), F.col("lat"), F.lit(10.0), F.lit(45.0)]
+    return _points(spark, sf, "orders", "cloud").select("pid", *[F.round(G.distance(m, *at), 9).alias(m) for m in ("haversine", "cartesian")])
+
+
+def sample_values(spark, sf):
+    return R.sample_values(disk_average(spark, sf), "tid", ["v"])
+
+
+def _nc_path(spark: SparkSession, name: str) -> str:
+    """A new NetCDF file in the shared folder, as the machines that mount it see it."""
+    path = urlparse(shared_path(spark, name)).path + ".nc"
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    return path
+
+
+def _nc_grid(spark: SparkSession, sf: str, poles: bool) -> tuple[str, Axis, Axis]:
+    g, lat, lon = _grid(spark, sf, poles)
+    path = _nc_path(spark, "grid")
+    axes = {n: [a.first + k * a.step for k in range(a.n)] for n, a in (("lat", lat), ("lon", lon))}
+    sinks.write_new_netcdf(g.withColumnRenamed("v", "htopo"), path, {"lat": lat.n, "lon": lon.n}, {"htopo": "f8"}, "pid", axes, {"title": "orders"})
+    return path, lat, lon
+
+
+def _nc_cloud(spark: SparkSession, sf: str, table: str, kind: str, dim: str, names: dict[str, str]) -> str:
+    """A file of points; names: the variables of lon, lat and other columns."""
+    p, key = _points(spark, sf, table, kind), "pid" if kind == "cloud" else "tid"
+    path = _nc_path(spark, table)
+    sinks.write_new_netcdf(p.withColumnsRenamed(names), path, {dim: p.count()}, {names.get(c, c): "f8" for c in p.columns if c != key}, key)
+    return path
+
+
+def netcdf_structured(spark, sf):
+    s = ncgrid.load_source(spark, _nc_grid(spark, sf, False)[0], retain=True)
+    return s.cloud.select("pid", F.round("lon", 9).alias("lon"), F.round("lat", 9).alias("lat"), "htopo")
+
+
+def netcdf_scrip(spark, sf):
+    path = _nc_cloud(spark, sf, "customer", "cloud", "grid_size", {"lon": "grid_center_lon", "lat": "grid_center_lat"})
+    return ncgrid.load_cloud(spark, path).select("pid", F.round("lon", 9).alias("lon"), F.round("lat", 9).alias("lat"), "v")
+
+
+def netcdf_columns(spark, sf):
+    path = _nc_cloud(spark, sf, "customer", "cloud", "grid_size", {})
+    return ncgrid.load_cloud(spark, path, ["v"]).select("pid", F.round("lon", 9).alias("lon"), F.round("lat", 9).alias("lat"), "v")
+
+
+def netcdf_generic(spark, sf):
+    path = _nc_cloud(spark, sf, "orders", "cloud", "n", {"lon": "xc", "lat": "yc"})
+    return ncgrid.load_cloud(spark, path, ["u", "v"]).select("pid", F.round("lon", 9).alias("lon"), F.round("lat", 9).alias("lat"), "u", "v")
+
+
+def netcdf_target(spark, sf):
+    path = _nc_cloud(spark, sf, "part", "target", "ncol", {})
+    return ncgrid.load_target(spark, path).select("tid", *[F.round(c, 9).alias(c) for c in ("lon", "lat", "area")])
+
+
+def netcdf_in_place(spark, sf):
+    """Smoothed values written over a copy of their own file, in its types."""
+    p = _points(spark, sf, "customer", "cloud")
+    first, again = _nc_path(spark, "first"), _nc_path(spark, "again")
+    sinks.write_new_netcdf(p.withColumnsRenamed({"lon": "x", "lat": "y"}), first, {"n": p.count()}, {"x": "f8", "y": "f8", "v": "i4"}, "pid")
+    sinks.write_netcdf(p.select("pid", (F.col("v") / 4.0).alias("v")), first, again, ["v"], "pid", in_place=True)
+    return ncgrid.load_cloud(spark, again).select("pid", "v")
+
+
+def _run(spark: SparkSession, *argv: str) -> str:
+    from .. import cli
+
+    out = _nc_path(spark, "out")
+    cli.run(spark, [*argv, "--output", out])
+    return out
+
+
+def command_line_grid(spark, sf):
+    """From a file of a grid and a file of targets to a file, by the command line."""
+    target = _nc_cloud(spark, sf, "part", "target", "ncol", {})
+    out = _run(spark, "--source", _nc_grid(spark, sf, False)[0], "--target", target, "--square-fields", "htopo")
+    return ncgrid.load_cloud(spark, out, ["htopo", "htopo_squared"]).select(F.col("pid").alias("tid"), "htopo", F.round(F.col("htopo_squared") / 1e6, 3).alias("htopo_squared"))
+
+
+def command_line_smooth(spark, sf):
+    path, lat, lon = _nc_grid(spark, sf, True)
+    out = _run(spark, "--source", path, "--reuse-source-mesh", "--smoothing-area", repr(40.0 * math.pi / (lat.n * lon.n)))
+    return ncgrid.load_cloud(spark, out).select("pid", F.col("htopo").alias("v"))
+
+
 def _sql_grid_disk(grid: str, target: str, radius: str, extra: str) -> str:
     return f"""with s0 as ({grid}), t as ({target}), m0 as (select t.tid, s.*, {_HAV} as d, {radius} as r from t, s0 s),
 m1 as (select *, row_number() over (partition by tid, ilat order by ilon) as nth from m0 where d <= degrees(r)),
@@ -324,7 +449,33 @@ def oracles() -> dict[str, str]:
     pole_t = "select * from (values " + ", ".join(f"({k}, cast({a} as double), cast({b} as double), cast({c} as double))" for k, (a, b, c) in enumerate(POLE_TARGETS)) + ") as v(tid, lon, lat, radius)"
     side = lambda i, j: f"acos(greatest(-1, least(1, x{i} * x{j} + y{i} * y{j} + z{i} * z{j})))"
     lhuilier = lambda a, b, c: f"4 * atan(sqrt(greatest(0, tan(({a} + {b} + {c}) / 4) * tan(({b} + {c} - {a}) / 4) * tan(({a} + {c} - {b}) / 4) * tan(({a} + {b} - {c}) / 4))))"
+    hav_node = _HAV.replace("t.", "qn.")
+    uneven = f"select pid, ilat, ilon, degrees(asin((ilat + cast(0.5 as double)) * 2 / (max(ilat) over () + 1) - 1)) as lat, lon, v from ({_sql_grid(False)})"
+    both = "n as (select tid, arg_min(v, d) as v from m0 group by tid), a as (select tid, count(*) as n_matches, avg(v) as v, avg(v * v) as w from m group by tid)"
+    points = lambda c: f"select pid, round(lon, 9) as lon, round(lat, 9) as lat, v from ({c})"
     return {
+        "knn_grid_k5": f"with s0 as ({_sql_grid(True)}), t as ({target}) select tid, rank, pid from (select tid, pid, row_number() over (partition by tid order by round(d, 9), pid) as rank from (select t.tid, s.pid, {_HAV} as d from t, s0 s)) where rank <= 5",
+        "grid_uneven": _sql_grid_disk(uneven, target, r, f", {both} select n.tid, coalesce(n_matches, 0) as n_matches, coalesce(a.v, n.v) as v from n left join a using (tid)"),
+        "spectral_grid": f"""with {_sql_nodes()}, qt as (select *, degrees(asin(z)) as lat, degrees(atan2(y, x)) as lon from qn), s0 as ({_sql_grid(True)}),
+d as (select qn.eid, qn.node, qn.w, qn.jac, s.ilat, s.ilon, s.lat, s.v, {hav_node} as d from qt qn, s0 s),
+h as (select *, row_number() over (partition by eid, node, ilat order by ilon) as nth from d where d <= degrees(jac)),
+hm as (select eid, node, avg(v) as v from h where abs(abs(lat) - 90) >= 1e-6 or nth = 1 group by eid, node),
+k as (select eid, node, any_value(w) as w, arg_min(v, {{'d': round(d, 12), 'i': ilat, 'j': ilon}}) as near from d group by eid, node)
+select cast(eid as bigint) as eid, round(sum(w * coalesce(v, near)) / sum(w), 1) as v from k left join hm using (eid, node) group by eid""",
+        "element_nearest": f"""with {_sql_mesh()}, q as (select eid, {sums} from mesh), t as (select eid as tid, mx / {norm} as x, my / {norm} as y, mz / {norm} as z from q), s as (select *, {_xyz('')} from ({cloud}))
+select cast(tid as bigint) as eid, arg_min(v, d) as v from (select t.tid, s.v, {_CHORD} as d from t, s) group by tid""",
+        "brute_force_nearest": f"with {_sql_pairs(_sql_points('customer', 'cloud'), _sql_points('supplier', 'target'))} select tid, arg_min(pid, d) as pid from (select t.tid, s.pid, {_CHORD} as d from t, s) group by tid",
+        "bounding_box": f"select round(min(lon), 9) as lon_lo, round(max(lon), 9) as lon_hi, round(min(lat), 9) as lat_lo, round(max(lat), 9) as lat_hi from ({_sql_points('customer', 'cloud')})",
+        "metric_distance": f"with {_sql_pairs(cloud, 'select cast(10 as double) as lon, cast(45 as double) as lat')} select pid, round({_HAV}, 9) as haversine, round({_CHORD}, 9) as cartesian from s, t",
+        "sample_values": f"select tid, v from ({_sql_disk(1.0, ['v'])}) order by tid limit 5",
+        "netcdf_structured": f"select pid, round(lon, 9) as lon, round(lat, 9) as lat, v as htopo from ({_sql_grid(False)})",
+        "netcdf_scrip": points(_sql_points("customer", "cloud")),
+        "netcdf_columns": points(_sql_points("customer", "cloud")),
+        "netcdf_generic": f"select pid, round(lon, 9) as lon, round(lat, 9) as lat, u, v from ({cloud})",
+        "netcdf_target": f"select tid, round(lon, 9) as lon, round(lat, 9) as lat, round(area, 9) as area from ({target})",
+        "netcdf_in_place": f"select pid, trunc(v / 4) as v from ({_sql_points('customer', 'cloud')})",
+        "command_line_grid": _sql_grid_disk(_sql_grid(False), target, r, f", {both} select n.tid, coalesce(a.v, n.v) as htopo, round(coalesce(a.w, n.v * n.v) / 1e6, 3) as htopo_squared from n left join a using (tid)"),
+        "command_line_smooth": _sql_grid_disk(_sql_grid(True), grid_t, r, "select tid as pid, avg(v) as v from m group by tid"),
         "axis_summary": f"with g as ({_sql_grid(False)}), l as (select 'lat' as axis, lat as v from g union select 'lon', lon from g) select axis, round(min(v), 9) as lo, round(max(v), 9) as hi, round((max(v) - min(v)) / (count(*) - 1), 9) as spacing, count(*) as n from l group by axis",
         "axis_recovery": f"select pid, dense_rank() over (order by lat) - 1 as ilat, dense_rank() over (order by lon) - 1 as ilon from ({_sql_grid(False)})",
         "nearest_axis_index": f"""with g as ({_sql_grid(False)}), t as ({target}), la as (select distinct ilat, lat from g), lo as (select distinct ilon, lon from g)
@@ -371,4 +522,5 @@ QUERIES = {f.__name__: f for f in (
     disk_average, disk_average_alpha, disk_average_squared, subgrid_variance, nearest_neighbor, knn_k5, radius_match_count, grid_disk_average, grid_nearest,
     grid_pole_dedup, self_smooth, self_smooth_grid, spectral_average, gll_jacobian_area, gll_nodes, rll_to_xyz, xyz_to_rll, haversine, element_centroid,
     field_stats, structured_expand, typed_cast, axis_summary, axis_recovery, nearest_axis_index, radius_knn_k3, grid_pole_query, gll_bubble_area, chord_angle,
-    great_circle, cloud_as_target, error_count)}
+    great_circle, cloud_as_target, error_count, knn_grid_k5, grid_uneven, spectral_grid, element_nearest, brute_force_nearest, bounding_box, metric_distance,
+    sample_values, netcdf_structured, netcdf_scrip, netcdf_columns, netcdf_generic, netcdf_target, netcdf_in_place, command_line_grid, command_line_smooth)}

@@ -3,7 +3,8 @@
 Formats are tried in this order: cell centres (`grid_size` with grid_center_lon/lat), columns
 (`grid_size` with lat/lon), regular grids (lat and lon axes with a topography variable, or with fields on
 (lat, lon)), and any file with a known coordinate pair. Options: path; fields (comma-separated; else all of the format's
-fields); lon_var, lat_var; fill_value (becomes null); rows_per_partition. The path must be a file that every executor can open.
+fields); lon_var, lat_var; fill_value (becomes null); rows_per_partition. The path is a file that every executor can open, or
+the URI of a store that Arrow reads.
 """
 
 from __future__ import annotations
@@ -16,7 +17,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from .netcdf3 import Header, read_header, read_slab
+from ..operators.radius import Grid
+from ..work import cut
+from .netcdf3 import Header, open_file, read_header, read_slab
 
 #: Names that mark the formats.
 TOPOGRAPHY = ("htopo", "Elevation", "terr")
@@ -34,6 +37,7 @@ class Layout:
     fields: list[str]
     nlon: int = 0
     nlat: int = 0
+    dims: tuple[str, ...] = ()
 
 
 def _flat(h: Header, names: Sequence[str], n: int, skip: set[str]) -> list[str]:
@@ -72,6 +76,7 @@ def detect(h: Header, fields: Sequence[str] = (), lon_var: str = "", lat_var: st
             out = Layout("generic", lon, lat, n, sorted(k for k in v if k not in {lon, lat, "xv", "yv"}))
     if not out.n:
         raise ValueError("the file has no points")
+    out.dims = (*v[out.lat].dims, *v[out.lon].dims) if out.kind == "structured" else v[out.lon].dims
     if fields:
         missing = [f for f in fields if f not in v]
         if missing:
@@ -96,7 +101,7 @@ class GridReader(DataSourceReader):
         self.o = options
 
     def _open(self):
-        f = open(self.o["path"], "rb")
+        f = open_file(self.o["path"])
         h = read_header(f)
         names = [x.strip() for x in self.o.get("fields", "").split(",") if x.strip()]
         return f, h, detect(h, names, self.o.get("lon_var", ""), self.o.get("lat_var", ""))
@@ -148,9 +153,50 @@ class GridSource(DataSource):
         return GridReader(dict(self.options))
 
 
+@dataclass
+class Source:
+    """A cloud with what its file says of it: grid, the axes of a structured one; dims, the file's dimensions of a field."""
+
+    cloud: DataFrame
+    grid: Grid | None
+    kind: str
+    n: int
+    dims: tuple[str, ...]
+
+    @property
+    def is_structured(self) -> bool:
+        return self.kind == "structured"
+
+
+def load_source(spark: SparkSession, path: str, fields: Sequence[str] = (), lon_var: str = "", lat_var: str = "", retain: bool = False, **options) -> Source:
+    """load_cloud, and the axes if the file is structured. retain: the points are written once as a work table and read from there."""
+    grid, kind, dims, n = None, "parquet", (), None
+    if not _is_parquet(path):
+        with open_file(path) as f:
+            h = read_header(f)
+            lay = detect(h, list(fields), lon_var, lat_var)
+            kind, dims, n = lay.kind, lay.dims, lay.n
+            if kind == "structured":
+                grid = Grid.of(*(read_slab(f, h, c, 0, k).astype(np.float64).tolist() for c, k in ((lay.lat, lay.nlat), (lay.lon, lay.nlon))))
+    cloud = load_cloud(spark, path, fields, lon_var, lat_var, **options)
+    cloud = cut(cloud, "points") if retain else cloud
+    return Source(cloud, grid, kind, cloud.count() if n is None else n, dims)
+
+
+def has_variable(path: str, name: str) -> bool:
+    if _is_parquet(path):
+        return True  # renamed if there, see load_cloud
+    with open_file(path) as f:
+        return name in read_header(f).variables
+
+
+def _is_parquet(path: str) -> bool:
+    return path.rstrip("/").endswith(".parquet")
+
+
 def load_cloud(spark: SparkSession, path: str, fields: Sequence[str] = (), lon_var: str = "", lat_var: str = "", **options) -> DataFrame:
     """A NetCDF or Parquet cloud as (pid, lon, lat, fields)."""
-    if path.endswith(".parquet") or path.endswith(".parquet/"):
+    if _is_parquet(path):
         df = spark.read.parquet(path)
         df = df.withColumnsRenamed({k: v for k, v in ((lon_var, "lon"), (lat_var, "lat")) if k and k in df.columns and v not in df.columns})
         missing = [f for f in ("pid", "lon", "lat", *fields) if f not in df.columns]
@@ -168,7 +214,7 @@ def load_target(spark: SparkSession, path: str, lon: str = "lon", lat: str = "la
     """(tid, lon, lat, area): all three variables are required and lie on the one dimension."""
     if path.endswith(".parquet"):
         return load_cloud(spark, path, [area], lon, lat).select(*[c for c in ("lon", "lat")], "pid", area).withColumnsRenamed({"pid": "tid", area: "area"}).select("tid", "lon", "lat", "area")
-    with open(path, "rb") as f:
+    with open_file(path) as f:
         h = read_header(f)
     if dof not in h.dims or not h.dims[dof]:
         raise ValueError(f"dimension {dof} is missing or empty; available: {h.dims}")

@@ -11,8 +11,8 @@ from sphereweave.functions import geometry as G
 from sphereweave.operators import axes as A
 from sphereweave.operators import quadrature as Q
 from sphereweave.operators import remap as R
-from sphereweave.operators.nearest import grid_nearest, knn, radius_knn
-from sphereweave.operators.radius import Axis, grid_radius_join, radius_join
+from sphereweave.operators.nearest import grid_nearest, knn, linear_nearest, radius_knn
+from sphereweave.operators.radius import Axis, Grid, grid_radius_join, radius_join
 from sphereweave.plans import queries
 from sphereweave.sources import ncgrid, netcdf3, sinks
 
@@ -225,3 +225,79 @@ def test_radius_limited_nearest_and_errors(spark):
     assert {tuple(r) for r in R.error_count(out, ["a", "b"]).collect()} == {("a", 2), ("b", 1)}
     t = R.as_target(spark.createDataFrame([(1, 0.0, 0.0, None), (2, 0.0, 0.0, 0.5)], "pid long, lon double, lat double, area double"), 0.1)
     assert {tuple(r) for r in t.collect()} == {(1, 0.0, 0.0, 0.1), (2, 0.0, 0.0, 0.5)} and R.as_target(t.withColumnRenamed("tid", "pid").drop("area"), 2.0).first()["area"] == 2.0
+
+
+def test_nearest_in_a_regional_cloud_with_copies_and_far_targets(spark):
+    r = random.Random(9)
+    src = [(i, 10 + r.random() * 0.2, 45 + r.random() * 0.2, float(i)) for i in range(3000)] + [(3000 + i, 10.1, 45.1, 0.0) for i in range(300)]
+    tgt = [(i, *p, 0.1) for i, p in enumerate(random_points(30, 10))] + [(30, 10.1, 45.1, 0.1), (31, -169.9, -45.1, 0.1)]
+    c, t = cloud_of(spark, src), target_of(spark, tgt)
+    for k in (1, 4):
+        near = {(x.tid, x["rank"]): x.pid for x in knn(c, t, k).collect()}
+        for x in tgt:
+            d = sorted((round(chord(x[1:3], s[1:3]), 12), s[0]) for s in src)[:k]
+            assert [round(chord(x[1:3], src[near[(x[0], j + 1)]][1:3]), 12) for j in range(k)] == [a for a, _ in d]
+    got = knn(c.where("pid < 2"), t, 3, pad=True)
+    assert got.count() == 3 * len(tgt) and got.where("pid is null").count() == len(tgt)
+    assert knn(c.where("pid < 0"), t, 2).count() == 0 and knn(c, t.where("tid < 0"), 2).count() == 0
+    with pytest.raises(ValueError):
+        linear_nearest(c, t, max_source=10)
+
+
+@pytest.mark.parametrize("poles", [True, False])
+def test_uneven_grid_against_brute_force(spark, poles):
+    la = [-90.0, -60.0, -10.0, 0.0, 5.0, 50.0, 90.0] if poles else [80.0, 30.0, 29.0, -70.0]
+    lo = [0.0, 10.0, 50.0, 180.0, 300.0]
+    rows = [(i * 5 + j, i, j, lo[j], la[i], float(i * 5 + j)) for i in range(len(la)) for j in range(5)]
+    g = spark.createDataFrame(rows, "pid long, ilat long, ilon long, lon double, lat double, v double")
+    axes = Grid.of(la, lo)
+    assert not axes.even
+    tgt = [(i, *p, r) for i, (p, r) in enumerate(zip(random_points(30, 11), [0.5, 1.0, 3.0] * 10))]
+    got = {r.tid: (r.n_matches, r.v) for r in R.disk_average(g, target_of(spark, tgt), ["v"], grid=axes).collect()}
+    for x in tgt:
+        seen, hit = set(), []
+        for pid, i, j, lo_, la_, v in rows:
+            if hav(x[1:3], (lo_, la_)) <= math.degrees(x[3]) and not (abs(la_) == 90 and i in seen):
+                seen.add(i)
+                hit.append(v)
+        near = min(rows, key=lambda s: (round(hav(x[1:3], s[3:5]), 9), s[0]))[5]
+        assert got[x[0]] == (len(hit), pytest.approx(sum(hit) / len(hit) if hit else near))
+
+
+def test_sink_keeps_attributes_and_records(spark, tmp_path):
+    """A template with an unlimited dimension: attributes, other variables and records stay, a field on the records is written."""
+    src, out = str(tmp_path / "a.nc"), str(tmp_path / "b.nc")
+    v = [netcdf3.Variable("x", ("ncol",), np.dtype("f4"), attrs={"units": "m", "scale": np.array([1.5, 2.5])}), netcdf3.Variable("t", ("time", "ncol"), np.dtype("i2"))]
+    head, h = netcdf3.lay_out(2, {"time": 2, "ncol": 3}, v, {"title": "kept", "n": np.array([7], np.int32)}, "time", 2)
+    netcdf3.create(src, head, h)
+    with open(src, "r+b") as f:
+        netcdf3.write_slab(f, h, "x", 0, np.array([1, 2, 3]))
+        netcdf3.write_slab(f, h, "t", 0, np.arange(6))
+    with open(src, "rb") as f:
+        old = netcdf3.read_header(f)
+        assert old.record_size == 6 and netcdf3.read_slab(f, old, "t", 0, 6).tolist() == list(range(6))
+    sinks.write_netcdf(spark.createDataFrame([(k, k + 0.5) for k in range(3)], "tid long, new double"), src, out, ["new"])
+    with open(out, "rb") as f:
+        n = netcdf3.read_header(f)
+        assert n.attrs["title"] == "kept" and n.attrs["n"].tolist() == [7] and n.variables["x"].attrs["units"] == "m" and n.unlimited == "time" and n.records == 2
+        assert [netcdf3.read_slab(f, n, c, 0, k).tolist() for c, k in (("x", 3), ("t", 6), ("new", 3))] == [[1, 2, 3], list(range(6)), [0.5, 1.5, 2.5]]
+    sinks.write_netcdf(spark.createDataFrame([(k, -k - 0.9) for k in range(6)], "tid long, t double"), src, out, ["t"], in_place=True)
+    with open(out, "rb") as f:
+        assert netcdf3.read_slab(f, netcdf3.read_header(f), "t", 0, 6).tolist() == [0, -1, -2, -3, -4, -5]
+    for rows in ([(0, 1.0)], [(0, 1.0), (1, 1.0), (1, 1.0)], [(1, 1.0), (2, 1.0), (3, 1.0)]):
+        with pytest.raises(ValueError):
+            sinks.write_netcdf(spark.createDataFrame(rows, "tid long, new double"), src, out, ["new"])
+
+
+def test_self_mode_writes_squares_and_sources_own_names(spark, tmp_path):
+    src = nc(tmp_path / "s.nc", {"grid_size": 4}, [("lon", ["grid_size"], np.array([0.0, 90, 180, 270])), ("lat", ["grid_size"], np.zeros(4)), ("f", ["grid_size"], np.array([1.0, 2, 3, 4]))])
+    out = str(tmp_path / "o.nc")
+    cli.run(spark, ["--source", src, "--reuse-source-mesh", "--smoothing-area", "0.001", "--square-fields", "f", "--output", out])
+    with open(out, "rb") as f:
+        h = netcdf3.read_header(f)
+        assert netcdf3.read_slab(f, h, "f_squared", 0, 4).tolist() == [1, 4, 9, 16] and h.variables["f_squared"].dims == ("grid_size",)
+    odd = nc(tmp_path / "odd.nc", {"n": 2}, [("px", ["n"], np.array([0.0, 90])), ("py", ["n"], np.zeros(2)), ("f", ["n"], np.array([1.0, 2]))])
+    tgt = nc(tmp_path / "t.nc", {"ncol": 1}, [("px", ["ncol"], np.array([89.0])), ("py", ["ncol"], np.zeros(1)), ("area", ["ncol"], np.array([0.01]))])
+    r = cli.run(spark, ["--source", odd, "--target", tgt, "--lon-var", "px", "--lat-var", "py", "--fields", "f", "--output", out])
+    assert r.collect()[0]["f"] == 2.0
+    assert ncgrid.load_cloud(spark, "file://" + odd, ["f"], "px", "py").count() == 2
