@@ -51,7 +51,9 @@ def min_labels(links: DataFrame) -> DataFrame:
         release(labels)
         labels = after
     release(both)
-    return labels.select("id", F.col("f").alias("label"))
+    out = labels.select("id", F.col("f").alias("label"))
+    out._work_path = labels._work_path  # so that release() finds it
+    return out
 
 
 def _with_grandparents(labels: DataFrame, moved: Column) -> DataFrame:
