@@ -593,3 +593,33 @@ def test_pipeline_stages(spark):
     want = c.sql(mixing.ORACLE).df()
     pick = lambda x, e, t: sorted(zip(x.doc_id, x[e], x[t]))
     assert len(mixed) and pick(mixed, "mix_epoch", "mix_tokens") == pick(want, "epoch", "n_tokens")
+
+
+def test_large_buckets_block_by_block(spark, monkeypatch):
+    """Every pair of a large bucket that is in two components and has a missed member is compared, whatever the blocks."""
+    rng = np.random.default_rng(8)
+    passage, texts = rng.integers(0, 1 << 32, 40, dtype=np.uint32), []
+    for n in rng.integers(45, 160, 90):
+        texts.append(np.concatenate([passage, rng.integers(0, 300, n - 40).astype(np.uint32)]))
+        if rng.random() < 0.4:  # a copy with some words replaced, around the bound
+            t = texts[-1].copy()
+            at = rng.choice(n, int(rng.uniform(0.02, 0.25) * n), replace=False)
+            t[at] = rng.integers(1 << 20, 1 << 21, len(at))
+            texts.append(t)
+    missed = [bool(i % 5) for i in range(len(texts))]
+    linked = {(i, j) for i in range(len(texts)) for j in range(i) if (missed[i] or missed[j]) and minhash.similar(texts[i], texts[j], 0.8)}
+
+    def parts(links):
+        up = list(range(len(texts)))
+        for _ in texts:
+            for a, b in links:
+                up[a] = up[b] = min(up[a], up[b])
+        return up
+
+    members = spark.createDataFrame([(key, i, sum(map(len, texts)), i, missed[i]) for key in (1, 2) for i in range(len(texts))], "key long, cid long, words long, lab long, missed boolean")
+    held = spark.createDataFrame([(i, bytearray(t.tobytes())) for i, t in enumerate(texts)], "cid long, w binary")
+    for words in (1 << 17, 1500):
+        monkeypatch.setattr(minhash, "BLOCK_WORDS", words)
+        found = {(max(r.a, r.b), min(r.a, r.b)) for r in minhash._block_links(members, held, 0.8).collect()}
+        assert found <= linked and parts(found) == parts(linked)
+    assert linked
