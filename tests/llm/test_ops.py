@@ -596,7 +596,7 @@ def test_pipeline_stages(spark):
 
 
 def test_large_buckets_block_by_block(spark, monkeypatch):
-    """Every pair of a large bucket that is in two components and has a missed member is compared, whatever the blocks."""
+    """Every pair of a key's texts that is in two components is compared, whatever the blocks."""
     rng = np.random.default_rng(8)
     passage, texts = rng.integers(0, 1 << 32, 40, dtype=np.uint32), []
     for n in rng.integers(45, 160, 90):
@@ -606,8 +606,7 @@ def test_large_buckets_block_by_block(spark, monkeypatch):
             at = rng.choice(n, int(rng.uniform(0.02, 0.25) * n), replace=False)
             t[at] = rng.integers(1 << 20, 1 << 21, len(at))
             texts.append(t)
-    missed = [bool(i % 5) for i in range(len(texts))]
-    linked = {(i, j) for i in range(len(texts)) for j in range(i) if (missed[i] or missed[j]) and minhash.similar(texts[i], texts[j], 0.8)}
+    linked = {(i, j) for i in range(len(texts)) for j in range(i) if minhash.similar(texts[i], texts[j], 0.8)}
 
     def parts(links):
         up = list(range(len(texts)))
@@ -616,10 +615,43 @@ def test_large_buckets_block_by_block(spark, monkeypatch):
                 up[a] = up[b] = min(up[a], up[b])
         return up
 
-    members = spark.createDataFrame([(key, i, sum(map(len, texts)), i, missed[i]) for key in (1, 2) for i in range(len(texts))], "key long, cid long, words long, lab long, missed boolean")
+    members = spark.createDataFrame([(key, i, sum(map(len, texts)), i) for key in (1, 2) for i in range(len(texts))], "key long, cid long, words long, lab long")
     held = spark.createDataFrame([(i, bytearray(t.tobytes())) for i, t in enumerate(texts)], "cid long, w binary")
     for words in (1 << 17, 1500):
         monkeypatch.setattr(minhash, "BLOCK_WORDS", words)
         found = {(max(r.a, r.b), min(r.a, r.b)) for r in minhash._block_links(members, held, 0.8).collect()}
         assert found <= linked and parts(found) == parts(linked)
     assert linked
+
+
+def test_rarest_runs_lose_no_pair(spark, monkeypatch):
+    """Texts that share a passage: all similar ones in different components are linked, whatever the table of runs."""
+    rng = np.random.default_rng(9)
+    passage, texts = rng.integers(0, 1 << 32, 30, dtype=np.uint32), [np.array([5], np.uint32), np.array([5, 6], np.uint32)]
+    for n in [*rng.integers(2, 12, 40), *rng.integers(45, 130, 80)]:
+        texts.append(np.concatenate([passage[: n // 2], rng.integers(0, 40 if n % 2 else 5000, n - n // 2).astype(np.uint32)]))
+        t = texts[-1].tolist()
+        for _ in range(int(rng.uniform(0, 0.25) * n)):  # words replaced, added and dropped, up to the bound and beyond
+            at = int(rng.integers(0, len(t)))
+            t[at: at + int(rng.integers(0, 2))] = rng.integers(0, 5000, int(rng.integers(0, 2))).tolist()
+        texts.append(np.array(t or [1], np.uint32))
+    texts.append(texts[-1])
+    lab = [i if i % 7 else 0 for i in range(len(texts))]
+    pool = spark.createDataFrame([(i, x) for i, x in enumerate(lab)], "cid long, lab long")
+    held = spark.createDataFrame([(i, bytearray(t.tobytes())) for i, t in enumerate(texts)], "cid long, w binary").repartition(5)
+
+    def parts(links):
+        up = list(lab)
+        for _ in texts:
+            for a, b in links:
+                x, y = sorted((up[a], up[b]))
+                up = [x if v == y else v for v in up] if x != y else up
+        return up
+
+    for threshold, slots, row in ((0.8, 1 << 24, 1 << 16), (0.8, 16, 4), (0.7, 1 << 12, 1 << 8), (0.9, 1 << 24, 1 << 16)):
+        monkeypatch.setattr(minhash, "SLOTS", slots)
+        monkeypatch.setattr(minhash, "SLOT_ROW", row)
+        linked = {(i, j) for i in range(len(texts)) for j in range(i) if lab[i] != lab[j] and minhash.similar(texts[i], texts[j], threshold)}
+        found = {(max(r.a, r.b), min(r.a, r.b)) for r in minhash._run_links(pool, held, threshold).collect()}
+        assert linked and found <= linked and parts(found) == parts(linked)
+    assert not minhash._run_links(pool.limit(0), held, 0.8).count()
