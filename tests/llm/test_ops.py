@@ -655,3 +655,22 @@ def test_rarest_runs_lose_no_pair(spark, monkeypatch):
         found = {(max(r.a, r.b), min(r.a, r.b)) for r in minhash._run_links(pool, held, threshold).collect()}
         assert linked and found <= linked and parts(found) == parts(linked)
     assert not minhash._run_links(pool.limit(0), held, 0.8).count()
+
+
+def test_embeddings_disk_does_not_grow_with_the_pairs(spark):
+    """Vectors without any structure, in many cells and blocks, whose pairs must nearly all be compared."""
+    rng = np.random.default_rng(12)
+    x = rng.standard_normal((3000, 16)).astype(np.float32)
+    x[2990:] = x[:10] * 2 + 0.01
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<float>")
+    sc = spark.sparkContext._jsc.sc()
+
+    def written():
+        sc.listenerBus().waitUntilEmpty()
+        return sum(e.totalShuffleWrite() for e in [sc.statusStore().executorList(True).apply(0)])
+
+    before = written()
+    got = {r.vec_id: r.n_links for r in embed_dedup.near_duplicates(df, cell=60, block=20).collect()}
+    assert written() - before < 5 * x.nbytes
+    u = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    assert got == dict(enumerate(((u @ u.T >= 0.95).sum(1) - 1).tolist()))
