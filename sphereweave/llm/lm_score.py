@@ -9,10 +9,10 @@ distribution over sequences of ids.
 
 The model: embeddings, one layer of causal attention with a learned bias by distance, a
 hidden layer on the current id and what attention brings, the two-level softmax. Training texts of any length are cut into
-pieces of PIECE characters (words that a cut goes through are left out), and pieces are drawn by hash. A first model is
-trained on some FIRST of them on the driver; then one piece in EVERY, of the whole corpus, goes to as many workers as are needed for PER_WORKER
-pieces each, which train on from that model, and their parameters are averaged. So what is learned grows with the corpus, and no
-task or driver holds more than a bounded part of it. Scoring cuts a text's ids into windows of WINDOW that
+pieces of PIECE characters (words that a cut goes through are left out), dealt by hash. A first model is
+trained on some FIRST of them on the driver, which also settle which ids share a class; where there are more, all pieces of the whole corpus go to as
+many workers as are needed for PER_WORKER pieces each, which train on from that model, one pass in which every id is predicted once, and their
+parameters are averaged. So everything is learned from, and no task or driver holds more than a bounded part of it. Scoring cuts a text's ids into windows of WINDOW that
 overlap; each id is scored once, in the first window that holds it, with at least WINDOW - STRIDE
 ids of context (or the whole text before it); windows of many texts are batched with one causal mask.
 
@@ -44,7 +44,7 @@ PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|
 END_WORD = b"\n"  # white space never is a word
 CLASSES, MEMBERS, DIM, ATTN, HIDDEN, WINDOW, STRIDE = 64, 32, 32, 16, 32, 24, 18
 HEAD = CLASSES * MEMBERS
-PIECE, FIRST, EVERY, PER_WORKER = 2000, 4000, 40, 3000
+PIECE, FIRST, PER_WORKER = 2000, 4000, 3000
 LOG10 = float(np.log(10))
 
 
@@ -189,6 +189,7 @@ def _init(vocab: Vocabulary, seed: int = 2) -> dict[str, np.ndarray]:
 _I = np.arange(WINDOW)
 _ROWS = np.arange(1 << 16)
 _ONES = np.ones(max(WINDOW, CLASSES, MEMBERS), np.float32)
+_ONES_LONG = np.ones(1 << 12, np.float32)
 _DIST = np.clip(_I[:, None] - _I[None, :], 0, None)
 _MASK = np.where(_I[:, None] >= _I[None, :], 0.0, -1e9).astype(np.float32)
 
@@ -235,74 +236,96 @@ def _log_probs(p: dict, h: np.ndarray, y: np.ndarray, vocab_cls: np.ndarray, voc
     return out
 
 
-def train(docs: list[np.ndarray], vocab: Vocabulary, steps: int = 1200, batch: int = 160, rate: float = 8e-3, seed: int = 4, start: dict | None = None) -> dict[str, np.ndarray]:
-    """docs: id sequences; a text's first begins, its last ends with the end. Adam on random windows."""
+def window_starts(first: np.ndarray, lens: np.ndarray, shift: int = 0) -> np.ndarray:
+    """Where windows begin that predict every id of the sequences but their first: once with shift 0."""
+    per = -(-np.maximum(lens - 1 - shift, 0) // WINDOW)
+    k = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
+    grid = np.repeat(first + shift, per) + k * WINDOW
+    return np.concatenate([first, grid]) if shift else grid
+
+
+def train(docs: list[np.ndarray], vocab: Vocabulary, steps: int | None = 1200, batch: int = 160, rate: float = 8e-3, seed: int = 4, start: dict | None = None) -> dict[str, np.ndarray]:
+    """docs: id sequences; a text's first begins, its last ends with the end. Adam on all windows in turn, in random order, in as many
+    passes as the steps allow; without steps, in one."""
     p = _init(vocab) if start is None else {k: v.copy() for k, v in start.items()}
     docs = [d for d in docs if len(d) > 1]
     if not docs:
         return p
     flat = np.concatenate([np.concatenate([d, np.full(WINDOW, -1)]) for d in docs])
-    starts = np.flatnonzero((flat[:-1] >= 0) & (flat[1:] >= 0))
+    lens = np.array([len(d) for d in docs])
+    first = np.cumsum(lens + WINDOW) - lens - WINDOW
     rng = np.random.default_rng(seed)
+    todo = rng.permutation(window_starts(first, lens))
+    steps = -(-len(todo) // batch) if steps is None else steps
     m1, m2 = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}
     for t in range(1, steps + 1):
-        at = rng.choice(starts, batch)[:, None] + np.arange(WINDOW + 1)
+        if not len(todo):
+            todo = rng.permutation(window_starts(first, lens, int(rng.integers(WINDOW))))
+        at, todo = todo[:batch, None] + np.arange(WINDOW + 1), todo[batch:]
         z = flat[np.minimum(at, len(flat) - 1)]
         ok = np.minimum.accumulate(z >= 0, axis=1)
         z = np.where(ok, z, 0)
         x, y, ok = z[:, :-1], z[:, 1:].ravel(), ok[:, 1:].ravel()
         f = _tables(p)
         q, k, v, a, z_, o = _attend(f, x)
-        a = a / z_
+        a /= z_
         xs, os_ = x.ravel(), o.reshape(-1, ATTN)
-        u = f["EW"][xs] + os_ @ p["W"][DIM:]
-        h = np.maximum(u, 0)
-        n = ok.sum()
-        g = {key: np.zeros_like(val) for key, val in p.items()}
-        s = h @ p["C"] + p["c"]
-        s = np.exp(s - s.max(1, keepdims=True))
-        s /= s.sum(1, keepdims=True)
+        u = f["EW"].take(xs, 0)
+        u += os_ @ p["W"][DIM:]
+        # in the order of the classes, so that each class is one slice
         c = vocab.cls[y]
+        order = np.argsort(c.astype(np.int16), kind="stable")
+        c, mem, h = c[order], vocab.mem[y[order]], np.maximum(u.take(order, 0), 0)
+        share = (ok[order] / ok.sum()).astype(np.float32)[:, None]
+        g = {key: np.zeros_like(val) for key, val in p.items()}
+        s = _softmax(h @ p["C"] + p["c"])
         s[np.arange(len(y)), c] -= 1
-        s *= (ok / n)[:, None].astype(np.float32)
+        s *= share
         g["C"], g["c"], gh = h.T @ s, s.sum(0), s @ p["C"].T
-        order = np.argsort(c, kind="stable")
-        edge = np.searchsorted(c[order], np.arange(CLASSES + 1))
+        edge = np.searchsorted(c, np.arange(CLASSES + 1))
         for j in range(CLASSES):
-            i = order[edge[j]: edge[j + 1]]
-            if len(i):
-                r = h[i] @ p["M"][j] + p["m"][j]
-                r = np.exp(r - r.max(1, keepdims=True))
-                r /= r.sum(1, keepdims=True)
-                r[np.arange(len(i)), vocab.mem[y[i]]] -= 1
-                r *= (ok[i] / n)[:, None].astype(np.float32)
-                g["M"][j], g["m"][j] = h[i].T @ r, r.sum(0)
-                gh[i] += r @ p["M"][j].T
-        gu = gh * (u > 0)
-        ex = p["E"][xs]
+            i, e = edge[j], edge[j + 1]
+            if i < e:
+                r = _softmax(h[i:e] @ p["M"][j] + p["m"][j])
+                r[np.arange(e - i), mem[i:e]] -= 1
+                r *= share[i:e]
+                g["M"][j], g["m"][j] = h[i:e].T @ r, _ONES_LONG[: e - i] @ r if e - i <= len(_ONES_LONG) else r.sum(0)
+                gh[i:e] += r @ p["M"][j].T
+        gh *= h > 0
+        gu = np.empty_like(gh)
+        gu[order] = gh
+        ex = p["E"].take(xs, 0)
         g["W"] = np.concatenate([ex.T @ gu, os_.T @ gu])
         g["b"] = gu.sum(0)
         ge = gu @ p["W"][:DIM].T
-        go = (gu @ p["W"][DIM:].T).reshape(batch, WINDOW, ATTN)
+        go = (gu @ p["W"][DIM:].T).reshape(len(x), WINDOW, ATTN)
         gv = a.transpose(0, 2, 1) @ go
-        ga = go @ v.transpose(0, 2, 1)
-        gs = a * (ga - (ga * a).sum(-1, keepdims=True))
+        gs = go @ v.transpose(0, 2, 1)
+        gs -= ((gs * a).reshape(-1, WINDOW) @ _ONES[:WINDOW]).reshape(len(x), WINDOW, 1)
+        gs *= a
         gq, gk = gs @ k, gs.transpose(0, 2, 1) @ q
         np.add.at(g["R"], _DIST, gs.sum(0) * (_MASK == 0))
         gq, gk, gv = gq.reshape(-1, ATTN) * np.float32(ATTN ** -0.5), gk.reshape(-1, ATTN), gv.reshape(-1, ATTN)
         g["Q"], g["K"], g["V"] = ex.T @ gq, ex.T @ gk, ex.T @ gv
         ge += gq @ p["Q"].T + gk @ p["K"].T + gv @ p["V"].T
-        o2 = np.argsort(xs, kind="stable")
-        first = np.flatnonzero(np.concatenate([[True], np.diff(xs[o2]) > 0]))
-        g["E"][xs[o2][first]] = np.add.reduceat(ge[o2], first)
+        o2 = np.argsort(xs.astype(np.int16), kind="stable")
+        begin = np.flatnonzero(np.concatenate([[True], np.diff(xs[o2]) > 0]))
+        g["E"][xs[o2][begin]] = np.add.reduceat(ge.take(o2, 0), begin)
         lr = rate * min(1.0, t / 20) * (0.05 + 0.95 * (1 - t / steps))
         for key in p:
-            m1[key] += 0.1 * (g[key] - m1[key])
-            m2[key] += 0.01 * (g[key] ** 2 - m2[key])
-            p[key] -= (lr * (m1[key] / (1 - 0.9 ** t)) / (np.sqrt(m2[key] / (1 - 0.99 ** t)) + 1e-8)).astype(np.float32)
+            m1[key] += np.float32(0.1) * (g[key] - m1[key])
+            m2[key] += np.float32(0.01) * (g[key] * g[key] - m2[key])
+            p[key] -= (np.float32(lr / (1 - 0.9 ** t)) * m1[key] / (np.sqrt(m2[key] * np.float32(1 / (1 - 0.99 ** t))) + np.float32(1e-8)))
     return p
 
 
+def _softmax(s: np.ndarray) -> np.ndarray:
+    s -= s.max(1, keepdims=True)
+    np.exp(s, out=s)
+    s /= (s @ _ONES[: s.shape[1]])[:, None]
+    return s
+
+
 class Words:
     """Memo of words in a worker: their subword ids and log10 base probability (nan: look it up). It forgets
     everything at `bound` words."""
@@ -423,24 +446,25 @@ def fit(counts: DataFrame, docs: DataFrame, path: str = VOCAB_PATH, steps: int =
     sequences = _sequences(pieces(docs, 0.0, begin).limit(2 * FIRST).collect(), vocab, path)
     vocab.cluster(sequences)
     model = train(sequences, vocab, steps)
-    workers = int(total / EVERY / PER_WORKER)
-    return (_averaged(docs, model, vocab, path, workers, steps // 4, begin) if workers else model), vocab
+    if total <= FIRST:  # the first model has seen everything
+        return model, vocab
+    return _averaged(docs, model, vocab, path, -(-total // PER_WORKER)), vocab
 
 
-def _averaged(docs: DataFrame, model: dict, vocab: Vocabulary, path: str, workers: int, steps: int, begin: float) -> dict:
-    """The mean of the models that the workers make of `model`, each with its share of the pieces."""
+def _averaged(docs: DataFrame, model: dict, vocab: Vocabulary, path: str, workers: int, steps: int | None = None, begin: float = 0.0) -> dict:
+    """The mean of the models that the workers make of `model`, each with its share of the pieces from the hash `begin` on."""
     shared = docs.sparkSession.sparkContext.broadcast((model, vocab))
 
     def learn(key, pdf: pd.DataFrame) -> pd.DataFrame:
         start, v = shared.value
         rows = list(pdf[["o", "piece", "first", "last"]].itertuples(index=False))
-        p = train(_sequences(rows, v, path), v, steps, rate=2e-3, seed=5 + int(key[0]), start=start)
+        p = train(_sequences(rows, v, path), v, steps, batch=320, rate=2e-3, seed=5 + int(key[0]), start=start)
         return pd.DataFrame({"worker": [int(key[0])], "n": [1], "p": [np.concatenate([p[k].ravel() for k in sorted(p)]).astype(np.float64).tobytes()]})
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"n": [int(pdf["n"].sum())], "p": [np.sum([np.frombuffer(x, np.float64) for x in pdf["p"]], axis=0).tobytes()]})
 
-    drawn = pieces(docs, begin, begin + 1 / EVERY).withColumn("worker", F.floor((F.col("o") - begin) * EVERY * workers).cast("int"))
+    drawn = pieces(docs, begin, 1.0).withColumn("worker", F.floor((F.col("o") - begin) / (1 - begin) * workers).cast("int"))
     each = cut(drawn.groupBy("worker").applyInPandas(learn, "worker int, n long, p binary"), "models")
     # sums of about as many models as there are sums reach the driver
     some = each.groupBy(F.pmod("worker", F.lit(max(1, int(workers ** 0.5)))).alias("g")).applyInPandas(add, "n long, p binary").collect()

@@ -674,3 +674,31 @@ def test_embeddings_disk_does_not_grow_with_the_pairs(spark):
     assert written() - before < 5 * x.nbytes
     u = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
     assert got == dict(enumerate(((u @ u.T >= 0.95).sum(1) - 1).tolist()))
+
+
+def test_language_model_learns_from_every_piece(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "FIRST", 20)
+    monkeypatch.setattr(lm_score, "PER_WORKER", 40)
+    d = docs_of(spark, [(i, " ".join(f"w{(i * 7 + k) % 50}" for k in range(1200))) for i in range(40)])
+    total, drawn, pieces = lm_score.pieces(d, 0.0, 1.0).count(), [], lm_score.pieces
+    monkeypatch.setattr(lm_score, "pieces", lambda *a: drawn.append(pieces(*a).count()) or pieces(*a))
+    counts = lm_score.word_counts(d)
+    model, vocab = lm_score.fit(counts, d, steps=30)
+    assert total > 80 and max(drawn) == total
+    # and from every id of a piece, once
+    lens = np.array([2, 25, 26, 49, 100])
+    first = np.cumsum(lens) - lens
+    for shift in (0, 7):
+        hit = np.bincount((lm_score.window_starts(first, lens, shift)[:, None] + np.arange(1, lm_score.WINDOW + 1)).ravel(), minlength=400)
+        assert all((hit[a + 1: a + n] >= 1).all() for a, n in zip(first, lens))
+    at = [lm_score.window_starts(np.array([0]), np.array([n])).tolist() for n in lens]
+    assert at == [[0], [0], [0, 24], [0, 24], [0, 24, 48, 72, 96]]
+
+
+def test_language_model_gradients():
+    """A step's gradient lowers the loss: training on one text makes it likely."""
+    v = lm_score.Vocabulary(np.ones(3001))
+    seq = np.random.default_rng(3).integers(0, 1500, 60)
+    ids = np.concatenate([[v.end], v.of[seq], [v.end]])
+    plain, learned = (lm_score.score_batch(lm_score._tables(lm_score.train([ids], v, steps, batch=8)), v, [seq])[0] for steps in (0, 150))
+    assert learned > 0.5 * plain
