@@ -702,3 +702,34 @@ def test_language_model_gradients():
     ids = np.concatenate([[v.end], v.of[seq], [v.end]])
     plain, learned = (lm_score.score_batch(lm_score._tables(lm_score.train([ids], v, steps, batch=8)), v, [seq])[0] for steps in (0, 150))
     assert learned > 0.5 * plain
+
+
+def test_large_buckets_are_not_joined_member_by_member(spark, monkeypatch):
+    """Texts that share half of their words fill large buckets: the pool holds all their classes, and few memberships meet the buckets' keys again."""
+    rng = np.random.default_rng(15)
+    texts = [" ".join([f"p{k}" for k in range(75)] + [f"w{x}" for x in rng.integers(0, 100_000, 75)]) for _ in range(150)]
+    d = docs_of(spark, list(enumerate(texts)))
+    monkeypatch.setattr(minhash, "SMALL", 8)
+    held = {}
+    for r in minhash.sketches(d, 0.8).collect():
+        for k in set(r["keys"]):
+            held.setdefault(k, set()).add(r.doc_id)
+    large = [x for x in held.values() if len(x) > 8]
+    seen, real = [], minhash._run_links
+
+    def joined(node):
+        if "AdaptiveSparkPlan" in node.nodeName():
+            return joined(node.executedPlan())
+        if "QueryStage" in node.nodeName():
+            return joined(node.plan())
+        own = int(node.metrics().apply("numOutputRows").value()) if "LeftSemi" in node.toString().split("\n")[0] else 0
+        return own + sum(joined(node.children().apply(i)) for i in range(node.children().size()))
+
+    def spy(pool, *rest):
+        rows = pool.collect()
+        seen.append((len(rows), joined(pool._jdf.queryExecution().executedPlan())))
+        return real(pool, *rest)
+
+    monkeypatch.setattr(minhash, "_run_links", spy)
+    assert minhash.near_duplicates(d).where("kept").count() == len(texts)
+    assert seen[0][0] == len(set().union(*large)) and 0 < seen[0][1] < sum(map(len, large)) / 3
