@@ -116,58 +116,87 @@ def _keyed(docs: DataFrame, domain: Column | None) -> DataFrame:
         "__m_x": F.xxhash64(*_hashable(docs))})
 
 
-def choose(docs: DataFrame, weights: Mapping = WEIGHTS, share: float | None = 0.5, budget: int | None = None, epochs: int = 2,
-           seed: int = 7, domain: Column | None = None) -> DataFrame:
-    """What is selected, without the texts: one row per epoch and distinct row of docs that is in it: its leaf, doc_id, lang, source,
-    __m_x, __m_epoch, __m_tokens and __m_take, how many of the equal rows are taken, of __m_n."""
+def _place(epoch: Column, seed: int) -> Column:
+    """Where a row with doc_id and __m_text stands in an epoch: a hexadecimal md5."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "__m_text").cast("binary"))
+
+
+def _at(epoch: Column | None = None, place: Column | None = None) -> Column:
+    """The range that a row stands in."""
+    return F.struct((F.col("__m_epoch") if epoch is None else epoch).alias("e"), (F.col("__m_b") if place is None else F.substring(place, 1, 3)).alias("b"))
+
+
+def _text_columns() -> list[Column]:
+    return [n_tokens(F.col("text")).alias("__m_tokens"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("__m_text")]
+
+
+def _bounds(docs: DataFrame, weights: Mapping, share: float | None, budget: int | None, epochs: int, seed: int, domain: Column | None) -> tuple[DataFrame, DataFrame]:
+    """One light row per epoch and distinct row of docs, and, one row a leaf that has a budget, the range that would pass it first."""
     key = list(KEY)
-    d = _keyed(docs, domain).select(*key, "doc_id", "lang", "source", "__m_x", n_tokens(F.col("text")).alias("__m_tokens"),
-                                    F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("__m_text"))
+    d = _keyed(docs, domain).select(*key, "doc_id", "lang", "source", "__m_x", *_text_columns())
     # the hash of the row stands first: a hot source meets partial sums, and no key of the exchange is hot
     light = cut(d.groupBy("__m_x", *key, "doc_id", "lang", "source", "__m_tokens", "__m_text").agg(F.count("*").alias("__m_n")), "light")
     e = light.withColumn("__m_epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
-    name = F.concat_ws(":", F.lit(str(seed)), F.col("__m_epoch").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "__m_text")
-    e = e.withColumn("__m_h", F.md5(name.cast("binary"))).withColumn("__m_b", F.substring("__m_h", 1, 3))
+    e = e.withColumn("__m_h", _place(F.col("__m_epoch"), seed)).withColumn("__m_b", F.substring("__m_h", 1, 3))
     parts = cut(e.groupBy(*key, "__m_epoch", "__m_b").agg(F.sum(F.col("__m_tokens") * F.col("__m_n")).alias("__m_t")), "ranges")
     sizes = parts.where("__m_epoch = 0").groupBy(*key).agg(F.sum("__m_t").alias("tokens")).toDF(*LEVELS, "tokens")
     leaf = budgets(sizes, weights, share, budget, epochs).where("alloc > 0").select(*[F.col(a).alias(b) for a, b in zip(LEVELS, key)], F.col("alloc").alias("__m_alloc"))
     # at most epochs * BUCKETS sums a leaf; the first range that would pass the budget is the boundary
     run = Window.partitionBy(*key).orderBy("__m_epoch", "__m_b").rowsBetween(Window.unboundedPreceding, 0)
-    at = F.struct(F.col("__m_epoch").alias("e"), F.col("__m_b").alias("b"))
+    at = _at()
     over, spare = F.col("__m_run") > F.col("__m_alloc"), F.col("__m_alloc") - F.col("__m_run") + F.col("__m_t")
     bound = (parts.withColumn("__m_run", F.sum("__m_t").over(run)).join(leaf, key).groupBy(*key)
              .agg(F.min(F.when(over, F.struct(at.alias("at"), spare.alias("room")))).alias("__m_end")))
-    # one row a leaf; as a written table its size is known, and Spark broadcasts it only below
-    # spark.sql.autoBroadcastJoinThreshold
-    e = e.join(cut(bound, "bounds"), key)
-    inside = e.where(F.col("__m_end").isNull() | (at < F.col("__m_end.at"))).withColumn("__m_take", F.col("__m_n"))
+    # as a written table its size is known, and Spark broadcasts it only below spark.sql.autoBroadcastJoinThreshold
+    return e, cut(bound, "bounds")
+
+
+def _border(e: DataFrame) -> DataFrame:
+    """Of the light rows e, joined with the bounds, those of a leaf's boundary range that are in."""
+    key, at = list(KEY), _at()
     edge = Window.partitionBy(*key, "__m_epoch", "__m_b").orderBy("__m_h", "doc_id", "__m_tokens", "lang", "source", "__m_x").rowsBetween(Window.unboundedPreceding, -1)
     border = e.where(at == F.col("__m_end.at")).withColumn("__m_left", F.col("__m_end.room") - F.coalesce(F.sum(F.col("__m_tokens") * F.col("__m_n")).over(edge), F.lit(0)))
     fit = F.when(F.col("__m_tokens") > 0, F.least(F.col("__m_n"), F.floor(F.col("__m_left") / F.col("__m_tokens")))).otherwise(F.col("__m_n"))
     border = border.where("__m_left >= 0").withColumn("__m_take", fit.cast("long")).where("__m_take > 0")
-    cols = [*key, "doc_id", "lang", "source", "__m_x", "__m_epoch", "__m_tokens", "__m_n", "__m_take"]
-    return inside.select(*cols).union(border.select(*cols))
+    return border
+
+
+def choose(docs: DataFrame, weights: Mapping = WEIGHTS, share: float | None = 0.5, budget: int | None = None, epochs: int = 2,
+           seed: int = 7, domain: Column | None = None) -> DataFrame:
+    """What is selected, without the texts: one row per epoch and distinct row of docs that is in it: its leaf, doc_id, lang, source,
+    __m_x, __m_epoch, __m_tokens and __m_take, how many of the equal rows are taken, of __m_n."""
+    e, bounds = _bounds(docs, weights, share, budget, epochs, seed, domain)
+    e = e.join(bounds, list(KEY))
+    inside = e.where(F.col("__m_end").isNull() | (_at() < F.col("__m_end.at"))).withColumn("__m_take", F.col("__m_n"))
+    cols = [*KEY, "doc_id", "lang", "source", "__m_x", "__m_epoch", "__m_tokens", "__m_n", "__m_take"]
+    return inside.select(*cols).union(_border(e).select(*cols))
 
 
 def mix(docs: DataFrame, weights: Mapping = WEIGHTS, share: float | None = 0.5, budget: int | None = None, epochs: int = 2,
-        seed: int = 7, domain: Column | None = None) -> DataFrame:
+        seed: int = 7, domain: Column | None = None, broadcast_rows: int = 200_000) -> DataFrame:
     """docs' columns, and __m_epoch, __m_tokens, __m_domain: one row per selected (row, epoch).
-    The budget is `budget` tokens, or `share` of all tokens, rounded down."""
-    chosen = choose(docs, weights, share, budget, epochs, seed, domain)
-    # a row's epochs together; rows that are equal in every column are told apart by nothing, so the first ones can be any
-    each = chosen.groupBy("__m_x", *KEY).agg(F.collect_list(F.struct("__m_epoch", "__m_take")).alias("__m_in"), F.max("__m_n").alias("__m_n"),
-                                             F.first("__m_tokens").alias("__m_tokens"))
-    each = cut(each, "chosen")
+    The budget is `budget` tokens, or `share` of all tokens, rounded down.
+
+    No text is shuffled while there are at most `broadcast_rows` leaves and rows in boundary ranges: a row's own hash and its leaf's bound
+    tell the epochs that it is inside of, and only the rows of boundary ranges are looked up."""
+    e, bounds = _bounds(docs, weights, share, budget, epochs, seed, domain)
+    border = cut(_border(e.join(bounds, list(KEY))).select("__m_x", *KEY, "__m_epoch", "__m_tokens", "__m_n", "__m_take"), "border")
+    few = lambda x: F.broadcast(x) if x.count() <= broadcast_rows else x
     names = [F.col(f"`{c}`") for c in docs.columns]
-    out = [*names, "__m_domain", F.col("__m_e.__m_epoch").alias("__m_epoch"), "__m_tokens"]
-    d = _keyed(docs, domain).join(each, ["__m_x", *KEY])
-    once = d.where("__m_n = 1").withColumn("__m_e", F.explode("__m_in")).select(*out)
-    if not each.where("__m_n > 1").limit(1).count():
-        return once
-    again = d.where("__m_n > 1").groupBy("__m_x", *KEY).agg(F.first(F.struct(*names)).alias("__m_row"), F.first("__m_in").alias("__m_in"), F.first("__m_tokens").alias("__m_tokens"))
-    again = again.withColumn("__m_e", F.explode("__m_in")).withColumn("__m_copy", F.explode(F.sequence(F.lit(1), F.col("__m_e.__m_take").cast("int"))))
+    out = [*names, "__m_domain", "__m_epoch", "__m_tokens"]
+    d = _keyed(docs, domain)
+    end = F.col("__m_end")
+    inside = F.filter(F.sequence(F.lit(0), F.lit(epochs - 1)), lambda k: end.isNull() | (_at(k, _place(k, seed)) < F.col("__m_end.at")))
+    whole = d.select("*", *_text_columns()).join(few(bounds), list(KEY)).withColumn("__m_epoch", F.explode(inside)).select(*out)
+    # of rows that are equal in every column the first ones can be any
+    edge = d.join(few(border), ["__m_x", *KEY])
+    whole = whole.union(edge.where("__m_n = 1").select(*out))
+    if not border.where("__m_n > 1").limit(1).count():
+        return whole
+    again = edge.where("__m_n > 1").groupBy("__m_x", *KEY, "__m_epoch").agg(F.first(F.struct(*names)).alias("__m_row"), F.first("__m_take").alias("__m_take"), F.first("__m_tokens").alias("__m_tokens"))
+    again = again.withColumn("__m_copy", F.explode(F.sequence(F.lit(1), F.col("__m_take").cast("int"))))
     own = [F.col(f"__m_row.`{c}`").alias(c) for c in docs.columns]
-    return once.union(again.select(*own, "__m_domain", F.col("__m_e.__m_epoch").alias("__m_epoch"), "__m_tokens"))
+    return whole.union(again.select(*own, "__m_domain", "__m_epoch", "__m_tokens"))
 
 
 def op1_mixing(spark, sf_dir: str) -> DataFrame:

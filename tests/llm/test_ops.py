@@ -733,3 +733,26 @@ def test_large_buckets_are_not_joined_member_by_member(spark, monkeypatch):
     monkeypatch.setattr(minhash, "_run_links", spy)
     assert minhash.near_duplicates(d).where("kept").count() == len(texts)
     assert seen[0][0] == len(set().union(*large)) and 0 < seen[0][1] < sum(map(len, large)) / 3
+
+
+def test_mixing_shuffles_no_texts(spark):
+    """Long texts, some of them repeated: the mix holds what choose() tells, and the texts stay where they are."""
+    words = np.random.default_rng(16).integers(0, 10**9, (400, 300))
+    d = docs_of(spark, [(i, " ".join(map(str, w))) for i, w in enumerate(words)] + [(5, "one two")] * 9).localCheckpoint()
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1000")  # as on a large table
+    sc = spark.sparkContext._jsc.sc()
+
+    def written():
+        sc.listenerBus().waitUntilEmpty()
+        return sc.statusStore().executorList(True).apply(0).totalShuffleWrite()
+
+    try:
+        for weights in (mixing.WEIGHTS, {"domain": {}, "language": {}, "source": {"src0": 3}}):
+            before = written()
+            got = mixing.mix(d, weights).select("doc_id", "text", "__m_epoch", "__m_tokens").collect()
+            assert written() - before < 400 * 1000
+            want = mixing.choose(d, weights).collect()
+            assert got and sorted((r.doc_id, r["__m_epoch"], r["__m_tokens"]) for r in got) == sorted((r.doc_id, r["__m_epoch"], r["__m_tokens"]) for r in want for _ in range(r["__m_take"]))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
