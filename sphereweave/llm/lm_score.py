@@ -30,6 +30,7 @@ from __future__ import annotations
 import base64
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -66,6 +67,12 @@ class Encoder:
         for b in self.enc.token_byte_values():
             self.begins[self.enc.encode_single_token(b)] = b[:1] == b" "
 
+    @staticmethod
+    @lru_cache(1)
+    def at(path: str) -> "Encoder":
+        """One for all tasks of a Python worker."""
+        return Encoder(path)
+
     def many(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and where each word's ids begin."""
         ids = np.array(self.enc.encode_ordinary("".join([" " + w.decode("utf-8", "replace") for w in words])), np.int64)
@@ -104,7 +111,7 @@ def subword_counts(counts: DataFrame, path: str) -> tuple[np.ndarray, int]:
     """How often each id occurs in the corpus behind the word counts; the end is the last id."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = Encoder(path)
+        enc = Encoder.at(path)
         total = np.zeros(enc.n + 1, np.int64)
         for pdf in batches:
             is_end = (pdf["word"] == END_WORD).to_numpy()
@@ -187,9 +194,7 @@ def _init(vocab: Vocabulary, seed: int = 2) -> dict[str, np.ndarray]:
 
 
 _I = np.arange(WINDOW)
-_ROWS = np.arange(1 << 16)
 _ONES = np.ones(max(WINDOW, CLASSES, MEMBERS), np.float32)
-_ONES_LONG = np.ones(1 << 12, np.float32)
 _DIST = np.clip(_I[:, None] - _I[None, :], 0, None)
 _MASK = np.where(_I[:, None] >= _I[None, :], 0.0, -1e9).astype(np.float32)
 
@@ -212,23 +217,24 @@ def _tables(p: dict) -> dict:
 
 def _log_probs(p: dict, h: np.ndarray, y: np.ndarray, vocab_cls: np.ndarray, vocab_mem: np.ndarray) -> np.ndarray:
     """log P(y) for hidden states h, class by class."""
-    c = vocab_cls[y]
-    order = np.argsort(c.astype(np.int16), kind="stable")
-    h, c, m = h.take(order, 0), c[order], vocab_mem[y[order]]
-    edge = np.searchsorted(c, np.arange(CLASSES + 1))
+    c = vocab_cls[y].astype(np.int16)
+    order = np.argsort(c, kind="stable")
+    c, m = c[order], vocab_mem[y[order]]
+    x = np.ones((len(y), h.shape[1] + 1), np.float32)  # the last one takes the biases along
+    x[:, :-1] = h.take(order, 0)
+    to_class, to_member = np.concatenate([p["C"], p["c"][None]]), np.concatenate([p["M"], p["m"][:, None]], axis=1)
+    edge = np.searchsorted(c, np.arange(CLASSES + 1)).tolist()
     own, z = np.empty(len(y), np.float32), np.empty(len(y), np.float32)
     for a in range(0, len(y), 1024):  # small enough for a core's cache
-        s = h[a: a + 1024] @ p["C"]
-        s += p["c"]
-        own[a: a + 1024] = s[_ROWS[: len(s)], c[a: a + 1024]]
+        s = x[a: a + 1024] @ to_class
+        own[a: a + 1024] = s.ravel()[np.arange(0, s.size, CLASSES) + c[a: a + 1024]]
         np.exp(s, out=s)
         z[a: a + 1024] = s @ _ONES[:CLASSES]  # sums by BLAS: a row is too short for numpy's own
     for k in range(CLASSES):
         a, b = edge[k], edge[k + 1]
         if a < b:
-            s = h[a:b] @ p["M"][k]
-            s += p["m"][k]
-            own[a:b] += s[_ROWS[: b - a], m[a:b]] if b - a <= len(_ROWS) else s[np.arange(b - a), m[a:b]]
+            s = x[a:b] @ to_member[k]
+            own[a:b] += s.ravel()[np.arange(0, s.size, MEMBERS) + m[a:b]]
             np.exp(s, out=s)
             z[a:b] *= s @ _ONES[:MEMBERS]
     out = np.empty(len(y), np.float32)
@@ -247,7 +253,10 @@ def window_starts(first: np.ndarray, lens: np.ndarray, shift: int = 0) -> np.nda
 def train(docs: list[np.ndarray], vocab: Vocabulary, steps: int | None = 1200, batch: int = 160, rate: float = 8e-3, seed: int = 4, start: dict | None = None) -> dict[str, np.ndarray]:
     """docs: id sequences; a text's first begins, its last ends with the end. Adam on all windows in turn, in random order, in as many
     passes as the steps allow; without steps, in one."""
-    p = _init(vocab) if start is None else {k: v.copy() for k, v in start.items()}
+    first_values = _init(vocab) if start is None else start
+    keys = sorted(first_values)
+    theta = np.concatenate([first_values[k].ravel() for k in keys]).astype(np.float32)
+    p = _views(theta, first_values, keys)
     docs = [d for d in docs if len(d) > 1]
     if not docs:
         return p
@@ -257,7 +266,11 @@ def train(docs: list[np.ndarray], vocab: Vocabulary, steps: int | None = 1200, b
     rng = np.random.default_rng(seed)
     todo = rng.permutation(window_starts(first, lens))
     steps = -(-len(todo) // batch) if steps is None else steps
-    m1, m2 = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}
+    # parameters, gradients and moments are one vector each, p and g are their parts
+    grad, m1, m2, tmp = (np.zeros_like(theta) for _ in range(4))
+    g = _views(grad, p, keys)
+    cls, scale = vocab.cls.astype(np.int16), np.float32(ATTN ** -0.5)
+    parts = [slice(0, ATTN), slice(ATTN, 2 * ATTN), slice(2 * ATTN, 3 * ATTN), slice(3 * ATTN, 3 * ATTN + HIDDEN)]
     for t in range(1, steps + 1):
         if not len(todo):
             todo = rng.permutation(window_starts(first, lens, int(rng.integers(WINDOW))))
@@ -265,67 +278,120 @@ def train(docs: list[np.ndarray], vocab: Vocabulary, steps: int | None = 1200, b
         z = flat[np.minimum(at, len(flat) - 1)]
         ok = np.minimum.accumulate(z >= 0, axis=1)
         z = np.where(ok, z, 0)
-        x, y, ok = z[:, :-1], z[:, 1:].ravel(), ok[:, 1:].ravel()
-        f = _tables(p)
-        q, k, v, a, z_, o = _attend(f, x)
-        a /= z_
-        xs, os_ = x.ravel(), o.reshape(-1, ATTN)
-        u = f["EW"].take(xs, 0)
-        u += os_ @ p["W"][DIM:]
+        x, y, ok = z[:, :-1].ravel(), z[:, 1:].ravel(), ok[:, 1:].ravel()
+        n = len(y)
+        # what depends on one id alone: its query, key, value and part of the hidden layer, side by side
+        wall = np.concatenate([p["Q"] * scale, p["K"], p["V"], p["W"][:DIM]], axis=1)
+        ids = p["E"] @ wall
+        ids[:, parts[3]] += p["b"]
+        of = ids.take(x, 0)
+        q, k, v = (of[:, s].reshape(-1, WINDOW, ATTN) for s in parts[:3])
+        a = q @ k.transpose(0, 2, 1)
+        a += p["R"][_DIST] + _MASK
+        np.exp(a, out=a)
+        a /= (a.reshape(-1, WINDOW) @ _ONES[:WINDOW]).reshape(-1, WINDOW, 1)
+        o = (a @ v).reshape(-1, ATTN)
+        u = o @ p["W"][DIM:]
+        u += of[:, parts[3]]
         # in the order of the classes, so that each class is one slice
-        c = vocab.cls[y]
-        order = np.argsort(c.astype(np.int16), kind="stable")
-        c, mem, h = c[order], vocab.mem[y[order]], np.maximum(u.take(order, 0), 0)
-        share = (ok[order] / ok.sum()).astype(np.float32)[:, None]
-        g = {key: np.zeros_like(val) for key, val in p.items()}
-        s = _softmax(h @ p["C"] + p["c"])
-        s[np.arange(len(y)), c] -= 1
-        s *= share
-        g["C"], g["c"], gh = h.T @ s, s.sum(0), s @ p["C"].T
-        edge = np.searchsorted(c, np.arange(CLASSES + 1))
-        for j in range(CLASSES):
-            i, e = edge[j], edge[j + 1]
-            if i < e:
-                r = _softmax(h[i:e] @ p["M"][j] + p["m"][j])
-                r[np.arange(e - i), mem[i:e]] -= 1
-                r *= share[i:e]
-                g["M"][j], g["m"][j] = h[i:e].T @ r, _ONES_LONG[: e - i] @ r if e - i <= len(_ONES_LONG) else r.sum(0)
-                gh[i:e] += r @ p["M"][j].T
-        gh *= h > 0
+        c = cls[y]
+        order = np.argsort(c, kind="stable")
+        c, mem = c[order], vocab.mem[y[order]]
+        h = np.ones((n, HIDDEN + 1), np.float32)  # the last one takes the biases along
+        np.maximum(u.take(order, 0), 0, out=h[:, :HIDDEN])
+        to_class, to_member = np.concatenate([p["C"], p["c"][None]]), np.concatenate([p["M"], p["m"][:, None]], axis=1)
+        g_class, g_member = np.zeros_like(to_class), np.zeros_like(to_member)
+        share = (ok[order] / ok.sum()).astype(np.float32)
+        grad[:] = 0
+        gh, r = np.empty((n, HIDDEN), np.float32), np.empty((n, MEMBERS), np.float32)
+        for i in range(0, n, 1024):  # small enough for a core's cache
+            hi, e = h[i: i + 1024], slice(i, i + 1024)
+            s = _softmax_less_target(hi @ to_class, share[e], c[e])
+            g_class += hi.T @ s
+            np.matmul(s, p["C"].T, out=gh[e])
+        edge = np.searchsorted(c, np.arange(CLASSES + 1)).tolist()
+        own = [(j, slice(edge[j], edge[j + 1])) for j in range(CLASSES) if edge[j] < edge[j + 1]]
+        for j, e in own:
+            np.matmul(h[e], to_member[j], out=r[e])
+        r = _softmax_less_target(r, share, mem)
+        for j, e in own:
+            np.matmul(h[e].T, r[e], out=g_member[j])
+            gh[e] += r[e] @ p["M"][j].T
+        g["C"][:], g["c"][:], g["M"][:], g["m"][:] = g_class[:-1], g_class[-1], g_member[:, :-1], g_member[:, -1]
+        gh *= h[:, :HIDDEN] > 0
+        gof = np.empty_like(of)
         gu = np.empty_like(gh)
         gu[order] = gh
-        ex = p["E"].take(xs, 0)
-        g["W"] = np.concatenate([ex.T @ gu, os_.T @ gu])
-        g["b"] = gu.sum(0)
-        ge = gu @ p["W"][:DIM].T
-        go = (gu @ p["W"][DIM:].T).reshape(len(x), WINDOW, ATTN)
-        gv = a.transpose(0, 2, 1) @ go
+        gof[:, parts[3]] = gu
+        g["W"][DIM:] = o.T @ gu
+        go = (gu @ p["W"][DIM:].T).reshape(-1, WINDOW, ATTN)
+        gof[:, parts[2]] = (a.transpose(0, 2, 1) @ go).reshape(-1, ATTN)
         gs = go @ v.transpose(0, 2, 1)
-        gs -= ((gs * a).reshape(-1, WINDOW) @ _ONES[:WINDOW]).reshape(len(x), WINDOW, 1)
+        gs -= ((gs * a).reshape(-1, WINDOW) @ _ONES[:WINDOW]).reshape(-1, WINDOW, 1)
         gs *= a
-        gq, gk = gs @ k, gs.transpose(0, 2, 1) @ q
-        np.add.at(g["R"], _DIST, gs.sum(0) * (_MASK == 0))
-        gq, gk, gv = gq.reshape(-1, ATTN) * np.float32(ATTN ** -0.5), gk.reshape(-1, ATTN), gv.reshape(-1, ATTN)
-        g["Q"], g["K"], g["V"] = ex.T @ gq, ex.T @ gk, ex.T @ gv
-        ge += gq @ p["Q"].T + gk @ p["K"].T + gv @ p["V"].T
-        o2 = np.argsort(xs.astype(np.int16), kind="stable")
-        begin = np.flatnonzero(np.concatenate([[True], np.diff(xs[o2]) > 0]))
-        g["E"][xs[o2][begin]] = np.add.reduceat(ge.take(o2, 0), begin)
+        gof[:, parts[0]] = (gs @ k).reshape(-1, ATTN)
+        gof[:, parts[1]] = (gs.transpose(0, 2, 1) @ q).reshape(-1, ATTN)
+        g["R"][:] = np.bincount(_DIST.ravel(), (gs.sum(0) * (_MASK == 0)).ravel(), WINDOW)
+        # an id's gradients are added up before they meet the weights
+        by_id = np.argsort(x.astype(np.int16), kind="stable")
+        xs = x[by_id]
+        begin = np.flatnonzero(np.concatenate([[True], xs[1:] != xs[:-1]]))
+        total, seen = _sums(gof.take(by_id, 0), begin), xs[begin]
+        g["E"][seen] = total @ wall.T
+        gwall = p["E"][seen].T @ total
+        g["Q"][:], g["K"][:], g["V"][:], g["W"][:DIM] = gwall[:, parts[0]] * scale, gwall[:, parts[1]], gwall[:, parts[2]], gwall[:, parts[3]]
+        g["b"][:] = total[:, parts[3]].sum(0)
         lr = rate * min(1.0, t / 20) * (0.05 + 0.95 * (1 - t / steps))
-        for key in p:
-            m1[key] += np.float32(0.1) * (g[key] - m1[key])
-            m2[key] += np.float32(0.01) * (g[key] * g[key] - m2[key])
-            p[key] -= (np.float32(lr / (1 - 0.9 ** t)) * m1[key] / (np.sqrt(m2[key] * np.float32(1 / (1 - 0.99 ** t))) + np.float32(1e-8)))
+        np.subtract(grad, m1, out=tmp)
+        tmp *= np.float32(0.1)
+        m1 += tmp
+        grad *= grad
+        grad -= m2
+        grad *= np.float32(0.01)
+        m2 += grad
+        np.multiply(m2, np.float32(1 / (1 - 0.99 ** t)), out=tmp)
+        np.sqrt(tmp, out=tmp)
+        tmp += np.float32(1e-8)
+        np.divide(m1, tmp, out=tmp)
+        tmp *= np.float32(lr / (1 - 0.9 ** t))
+        theta -= tmp
     return p
 
 
-def _softmax(s: np.ndarray) -> np.ndarray:
-    s -= s.max(1, keepdims=True)
+def _views(flat: np.ndarray, like: dict, keys: list[str]) -> dict[str, np.ndarray]:
+    """The parameters that lie one after another in `flat`."""
+    ends = np.cumsum([like[k].size for k in keys])
+    return {k: flat[e - like[k].size: e].reshape(like[k].shape) for k, e in zip(keys, ends)}
+
+
+def _softmax_less_target(s: np.ndarray, share: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Logits s become, in place, the loss's gradients by them: (softmax - 1 at the target) times the row's share."""
+    if s.max() > 60:  # beyond what floats hold when it is summed up
+        s -= s.max(1, keepdims=True)
     np.exp(s, out=s)
-    s /= (s @ _ONES[: s.shape[1]])[:, None]
+    z = s @ _ONES[: s.shape[1]]
+    s *= (share / np.maximum(z, np.float32(1e-30)))[:, None]
+    s.ravel()[np.arange(0, s.size, s.shape[1]) + target] -= share
     return s
 
 
+def _sums(x: np.ndarray, begin: np.ndarray, long: int = 8) -> np.ndarray:
+    """Sums of the runs of rows of x that begin at `begin`. numpy's own reduceat goes down every column of every run."""
+    n = np.diff(np.append(begin, len(x)))
+    order = np.argsort(-n, kind="stable")
+    out = np.empty((len(begin), x.shape[1]), x.dtype)
+    many = int(np.count_nonzero(n > long))
+    for k in order[:many].tolist():
+        out[k] = np.ones(n[k], x.dtype) @ x[begin[k]: begin[k] + n[k]]
+    few = order[many:]
+    total, at, size = x.take(begin[few], 0), begin[few], n[few]
+    for i in range(1, min(long, int(size[0])) if len(few) else 0):
+        m = int(np.count_nonzero(size > i))  # the longer ones stand first
+        total[:m] += x.take(at[:m] + i, 0)
+    out[few] = total
+    return out
+
+
 class Words:
     """Memo of words in a worker: their subword ids and log10 base probability (nan: look it up). It forgets
     everything at `bound` words."""
@@ -334,6 +400,12 @@ class Words:
         self.enc, self.base, self.bound = enc, base, bound
         self.clear()
 
+    @staticmethod
+    @lru_cache(1)
+    def of_pieces(path: str) -> "Words":
+        """One for all models that a Python worker trains."""
+        return Words(Encoder.at(path), {})
+
     def clear(self) -> None:
         self.index: dict[bytes, int] = {}
         self.ids, self.n, self.start, self.len, self.lp = np.zeros(1 << 16, np.int32), 0, np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), np.zeros(1 << 14)
@@ -354,10 +426,11 @@ class Words:
     def look(self, words: list[bytes]) -> np.ndarray:
         if len(self.index) > self.bound:
             self.clear()
-        new = [w for w in set(words) if w not in self.index]
-        if new:
-            self.add(sorted(new))
-        return np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        found = list(map(self.index.get, words))
+        if None in found:
+            self.add(sorted({w for w, k in zip(words, found) if k is None}))
+            found = list(map(self.index.__getitem__, words))
+        return np.array(found, np.int64)
 
     def expand(self, k: np.ndarray) -> np.ndarray:
         n = self.len[k]
@@ -429,7 +502,7 @@ def piece_words(piece: str, first: bool, last: bool) -> list[bytes]:
 
 def _sequences(rows, vocab: Vocabulary, path: str) -> list[np.ndarray]:
     """rows of pieces, in the order of their hashes, as head ids."""
-    words, out, end = Words(Encoder(path), {}), [], [vocab.end]
+    words, out, end = Words.of_pieces(path), [], [vocab.end]
     for _, piece, first, last in sorted(map(tuple, rows)):
         ids = vocab.of[words.expand(words.look(piece_words(piece, first, last)))]
         out.append(np.concatenate([end if first else [], ids, end if last else []]).astype(np.int64))
@@ -490,7 +563,8 @@ def score(docs: DataFrame, counts: DataFrame, model: tuple[dict, Vocabulary], he
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         often, f, vocab = shared.value
-        table_ = Words(Encoder(path), often)
+        Words.of_pieces.cache_clear()  # its room is needed
+        table_ = Words(Encoder.at(path), often)
         end_lp = often.get(END_WORD, np.nan)
 
         def flush(rows: list, seqs: list) -> pd.DataFrame:

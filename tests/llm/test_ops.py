@@ -756,3 +756,22 @@ def test_mixing_shuffles_no_texts(spark):
             assert got and sorted((r.doc_id, r["__m_epoch"], r["__m_tokens"]) for r in got) == sorted((r.doc_id, r["__m_epoch"], r["__m_tokens"]) for r in want for _ in range(r["__m_take"]))
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_language_model_step_costs(monkeypatch):
+    """Models that a worker trains one after another share the vocabulary and the words' ids, and a step's gradients go by these sums."""
+    loads, encoding, encoded = [], lm_score.encoding, []
+    monkeypatch.setattr(lm_score, "encoding", lambda path: loads.append(path) or encoding(path))
+    monkeypatch.setattr(lm_score.Encoder, "many", lambda self, words, many=lm_score.Encoder.many: encoded.extend(words) or many(self, words))
+    v = lm_score.Vocabulary(np.ones(60_000))
+    a, b = (lm_score._sequences([(0.5, "alpha beta alpha qqzq", True, True)], v, lm_score.VOCAB_PATH) for _ in range(2))
+    assert len(loads) <= 1 and len(encoded) <= 3 and len(a) == 1 and a[0].tolist() == b[0].tolist()
+    rng = np.random.default_rng(7)
+    for n in (1, 9, 500):
+        x, begin = rng.standard_normal((n, 5)), np.unique(np.append(0, rng.integers(0, n, n // 6)))
+        assert np.allclose(lm_score._sums(x, begin), np.add.reduceat(x, begin))
+    s, share, target = rng.standard_normal((6, 32)).astype(np.float32), np.full(6, 0.5, np.float32), np.arange(6)
+    e = np.exp(s.astype(float))
+    want = 0.5 * (e / e.sum(1, keepdims=True) - np.eye(6, 32))
+    assert np.allclose(lm_score._softmax_less_target(s.copy(), share, target), want, atol=1e-6)
+    assert np.allclose(lm_score._softmax_less_target(s + np.float32(1000), share, target), want, atol=1e-4)  # beyond what exp holds
